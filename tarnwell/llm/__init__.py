@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tarnwell.llm import line_dedup, mixing, quality_rules
+from tarnwell.llm import chat, decontamination, line_dedup, mixing, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
+        "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -14,4 +17,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {
+        "op5_chat_formatting": chat.SQL,
+        "op6_decontamination": decontamination.SQL,
+        "op7_mixing": mixing.SQL,
+        "op8_line_dedup": line_dedup.SQL,
+    }
