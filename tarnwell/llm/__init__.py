@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tarnwell.llm import chat, decontamination, line_dedup, mixing, quality_rules, secrets
+from tarnwell.llm import chat, decontamination, line_dedup, mixing, quality_rules, resampling, secrets, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_importance_resampling": resampling.op1_importance_resampling,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
