@@ -2,64 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import materialize, row_key, table
+from tarnwell.llm.hashing import mix, pieces, word_hashes
 
-#: Buckets of hashed unigrams and bigrams; labelled rows that the target model is fitted on at most; bytes handled at once.
-BUCKETS, TARGET_ROWS, CHUNK = 1 << 14, 20_000, 1 << 21
+#: Buckets of hashed unigrams and bigrams; labelled rows that the target model is fitted on at most.
+BUCKETS, TARGET_ROWS = 1 << 14, 20_000
 #: Rows of a histogram bin that are brought to the driver at most when the k-th key is looked for.
 LAST_BIN = 5_000
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
 
 
 def hashed_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each unigram and bigram, index of its text). Words are runs of anything but ASCII white space, A-Z lower-cased."""
-    data = np.frombuffer("\n".join(texts).encode().lower(), np.uint8)
-    ends = np.cumsum([len(t.encode()) + 1 for t in texts])
-    word = ~_SPACE[data]
-    start = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
-    if not len(start):
+    h, of = word_hashes(texts)
+    if not len(h):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.repeat(start, np.diff(np.append(start, len(data))))
-    place = np.arange(start[0], len(data)) - first
-    value = np.where(word[start[0] :], _BYTE[data[start[0] :]] * _PLACE[place & 255] + (place.astype(np.uint64) << np.uint64(40)), np.uint64(0))
-    h = _mix(np.add.reduceat(value, start - start[0]))
-    of = np.searchsorted(ends, start, side="right")
     same = of[1:] == of[:-1]
-    pair = _mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])[same]
+    pair = mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])[same]
     return (np.concatenate([h, pair]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([of, of[1:][same]])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of about CHUNK bytes of text, so that memory follows one slice and not a batch."""
-    for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
-        lo = size = 0
-        for k, x in enumerate(texts):
-            size += len(x)
-            if size >= CHUNK or k == len(texts) - 1:
-                yield batch.slice(lo, k + 1 - lo), texts[lo : k + 1]
-                lo, size = k + 1, 0
-
-
 def _count(batches):
     sums = np.zeros((2, BUCKETS), np.int64)
-    for batch, texts in _pieces(batches, "text"):
+    for batch, texts in pieces(batches, "text"):
         bucket, of = hashed_ngrams(texts)
         target = np.array(batch.column("target").to_pylist(), bool)
         sums[0] += np.bincount(bucket, minlength=BUCKETS)
@@ -70,7 +39,7 @@ def _count(batches):
 
 def _scorer(ratio: np.ndarray):
     def score(batches):
-        for batch, texts in _pieces(batches, "text"):
+        for batch, texts in pieces(batches, "text"):
             bucket, of = hashed_ngrams(texts)
             sums = np.bincount(of, ratio[bucket], minlength=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sums)], ["doc_id", "key", "log_weight"])
