@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarnwell.llm import chat, decontamination, jaccard_join, line_dedup, mixing, quality_rules, resampling, secrets, toxicity
+from tarnwell.llm import chat, decontamination, jaccard_join, line_dedup, mixing, quality_rules, resampling, secrets, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_importance_resampling": resampling.op1_importance_resampling,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_decontamination": decontamination.op6_decontamination,
