@@ -8,30 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tarnwell.llm.common import ascii_lower, materialize, row_key, table, words
+from tarnwell.llm.common import ascii_lower, materialize, row_key, small, table, words
 
-#: Words of this operator: digits, lower-case letters and all beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of this operator, which are of digits, lower-case letters and all beyond ASCII.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Terms of a window whose lists are intersected before the rest of the phrase is compared.
 RAREST = 2
-#: Rows of a lookup table (terms, windows, keys; some 100 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 200_000
 #: Stands behind the last word of every text, so the index holds each text's length. No word contains it.
 END = "\x01"
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast if it has few rows; larger ones are joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def windows(bench: DataFrame, *, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """phrase (terms joined by a space), len, items: each different window with the items that hold it.
 
     An item of fewer words, but not none, is one window. Null ids are left out of items; their windows count.
     """
-    w = bench.select(F.col(id_col).cast("string").alias("item"), words(ascii_lower(F.col(text_col)), TERM).alias("w")).filter(F.size("w") > 0)
+    w = bench.select(F.col(id_col).cast("string").alias("item"), words(ascii_lower(F.col(text_col)), GAP).alias("w")).filter(F.size("w") > 0)
     at = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     w = w.select("item", F.explode(F.transform(at, lambda i: F.slice("w", i, F.lit(size)))).alias("w"))
     return w.groupBy(F.array_join("w", " ").alias("phrase")).agg(F.first(F.size("w")).alias("len"), F.collect_set("item").alias("items"))
@@ -49,15 +42,15 @@ class Index:
 
     def _starts(self) -> DataFrame:
         """key, phrase, len, bit, mask, start: a posting list of an anchor, moved by its place in the window."""
-        p, a = self.postings, _small(self.anchors)
+        p, a = self.postings, small(self.anchors)
         return p.join(a, "term").select("key", "phrase", "len", "bit", "mask", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
 
     def exact(self) -> DataFrame:
         """key, phrase, len, start of every occurrence of a window, once for repeated rows."""
         both = self._starts().groupBy("key", "phrase", "len", "start").agg(F.bit_or("bit").alias("seen"), F.first("mask").alias("mask")).filter("seen = mask")
         found = materialize(both.groupBy("key").agg(F.collect_list(F.struct("start", "len", "phrase")).alias("found")))
-        texts = self.docs.join(_small(found.select(F.col("key"))), "key", "left_semi").dropDuplicates(["key"])
-        texts = texts.select("key", words(ascii_lower(F.col("text")), TERM).alias("w")).join(found, "key")
+        texts = self.docs.join(small(found.select(F.col("key"))), "key", "left_semi").dropDuplicates(["key"])
+        texts = texts.select("key", words(ascii_lower(F.col("text")), GAP).alias("w")).join(found, "key")
         same = F.filter("found", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ") == x["phrase"])
         return texts.select("key", F.explode(same).alias("x")).select("key", "x.phrase", "x.len", "x.start")
 
@@ -81,18 +74,18 @@ def build_index(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", te
     """
     found = materialize(windows(bench, id_col=item_col, size=size))
     parts = found.select("phrase", "len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
-    vocabulary = _small(parts.select("term").distinct())
+    vocabulary = small(parts.select("term").distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = words(ascii_lower(F.col("text")), TERM)
+    tokens = words(ascii_lower(F.col("text")), GAP)
     freq = materialize(texts.select(F.explode(tokens).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
-    known = parts.join(_small(freq), "term")
+    known = parts.join(small(freq), "term")
     order = W.partitionBy("phrase").orderBy("n", "term", "off")
     all_known = F.count("*").over(W.partitionBy("phrase")) == F.col("len")
     anchors = known.withColumn("all", all_known).withColumn("rank", F.row_number().over(order)).filter(F.col("all") & (F.col("rank") <= rarest))
     bit = F.expr("cast(shiftleft(1, rank - 1) as int)")
     anchors = anchors.withColumn("bit", bit).withColumn("mask", F.sum("bit").over(W.partitionBy("phrase")).cast("int")).select("phrase", "len", "term", "off", "bit", "mask")
     anchors = materialize(anchors)
-    wanted = _small(anchors.select("term").union(docs.sparkSession.range(1).select(F.lit(END))).distinct())
+    wanted = small(anchors.select("term").union(docs.sparkSession.range(1).select(F.lit(END))).distinct())
     keyed = texts.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.concat(tokens, F.array(F.lit(END))).alias("w"))
     postings = keyed.select("key", "doc_id", F.posexplode("w").alias("pos", "term")).join(wanted, "term", "left_semi")
     postings = materialize(postings.select("key", "doc_id", "term", "pos"))
@@ -111,7 +104,7 @@ def contamination(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     hits = materialize(index.exact())
     place = F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
     by_doc = hits.groupBy("key").agg(F.size(F.array_distinct(place)).cast("long").alias("n_hit"))
-    items = hits.select("key", "phrase").distinct().join(_small(index.windows), "phrase").select("key", F.explode("items").alias("item"))
+    items = hits.select("key", "phrase").distinct().join(small(index.windows), "phrase").select("key", F.explode("items").alias("item"))
     items = items.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = index.postings.filter(F.col("term") == END).select("key", "doc_id", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(by_doc.join(items, "key", "left"), "key", "left")
