@@ -14,12 +14,12 @@ def required(value: str | None, what: str, least: int = 1) -> str:
     return value
 
 
-def like(column: Column, pattern: str, escape: bool = False) -> Column:
-    """Case-insensitive LIKE; _ and % of a pattern are wildcards unless escaped."""
+def like(column: Column, text: str, before: str = "%", after: str = "%", escape: bool = False) -> Column:
+    """Case-insensitive LIKE of a text between two patterns; _ and % in the text are wildcards unless escaped."""
     if escape:
         for c in "\\%_":
-            pattern = pattern.replace(c, "\\" + c)
-    return column.ilike(pattern)
+            text = text.replace(c, "\\" + c)
+    return column.ilike(before + text + after)
 
 
 def path_filter(path: Column, paths: Sequence[str] | None = None, directory: str | None = None, package: str | None = None, query: str | None = None) -> Column:
@@ -34,5 +34,5 @@ def path_filter(path: Column, paths: Sequence[str] | None = None, directory: str
         inner = package.replace(".", "/").lower() + "/"
         out = out & (F.startswith(F.lower(path), F.lit(inner)) | F.contains(F.lower(path), F.lit("/" + inner)))
     if query:
-        out = out & like(path, f"%{query}%")
+        out = out & like(path, query)
     return out

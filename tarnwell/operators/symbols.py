@@ -30,18 +30,18 @@ def parse_compact(entry: Column) -> Column:
     return F.struct(part(1).alias("name"), kind.alias("kind"), part(3).alias("file"), part(4).cast("int").alias("line_start"), part(5).cast("int").alias("line_end"))
 
 
-def rank(column: Column, name: str) -> Column:
+def rank(column: Column, name: str, escape: bool = False) -> Column:
     """0 for the name itself, 1 where it begins so, else 2."""
-    return F.when(column == name, 0).when(like(column, f"{name}%"), 1).otherwise(2)
+    return F.when(column == name, 0).when(like(column, name, before="", escape=escape), 1).otherwise(2)
 
 
 def search_symbol(symbols: DataFrame, files: DataFrame, name: str, *, kind: str | None = None, limit: int = 50, file_filter: Sequence[str] | None = None, directory: str | None = None, package: str | None = None, escape: bool = False) -> DataFrame:
     """Symbols whose name holds `name`, exact ones first, then those that begin so; at most `limit`."""
     required(name, "name", 2)
-    found = symbols.filter(like(F.col("name"), f"%{name}%", escape))
+    found = symbols.filter(like(F.col("name"), name, escape=escape))
     if kind:
         found = found.filter(F.col("kind") == kind)
-    found = found.join(_paths(files).filter(path_filter(F.col("path"), file_filter, directory, package)), "file_id").withColumn("rank", rank(F.col("name"), name))
+    found = found.join(_paths(files).filter(path_filter(F.col("path"), file_filter, directory, package)), "file_id").withColumn("rank", rank(F.col("name"), name, escape))
     found = found.orderBy("rank", "name", "path", "line_start", "id").limit(limit)
     return found.select("id", "file_id", "name", "kind", "path", "line_start", "line_end", "rank", compact().alias("entry"))
 

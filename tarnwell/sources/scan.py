@@ -67,7 +67,7 @@ def scan_tree(spark: SparkSession, root: str, skip=SKIP_DIRS) -> DataFrame:
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     below = F.when(F.startswith(plain, base), F.substring(plain, F.length(base) + 2, F.length(plain))).otherwise(plain)
     files = raw.withColumn("below", below).withColumn("lang", detect_language(F.col("below"))).filter(F.col("lang").isNotNull() & ~in_skipped(F.col("below"), skip))
-    return files.select(F.col("below").alias("path"), "lang", F.col("modificationTime").cast("double").alias("mtime"), F.md5("content").alias("hash"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select(F.col("below").alias("path"), "lang", F.col("modificationTime").cast("double").alias("mtime"), F.md5("content").alias("hash"), F.decode("content", "UTF-8").alias("content"))
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
