@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tarnwell.llm.common import materialize, row_key, table
+from tarnwell.llm.common import materialize, row_key, small, table
 from tarnwell.llm.components import components
-from tarnwell.llm.hashing import mix, pieces, word_hashes
+from tarnwell.llm.hashing import CHUNK, mix, pieces, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Buckets of the frequency table that orders tokens; token orders that a pair must share a prefix token under.
+#: Buckets of the frequency table that orders tokens; token orders that a pair must share prefix tokens under.
 BUCKETS, ORDERS = 1 << 18, 3
-#: Groups of a token with up to SMALL members give all their pairs across components; larger ones give those with one
-#: member a round, for ROUNDS rounds, and then all that are left.
-SMALL, ROUNDS = 16, 6
-BROADCAST_ROWS = 200_000
+#: Prefixes are longer than they must be by a token for each SLACK tokens of a set; pairs must share as many more.
+SLACK = 12
+#: Groups of a token with up to FEW members give their pairs at once; larger ones give those with one member a round, for
+#: ROUNDS rounds, and then the pairs that are left between components.
+FEW, ROUNDS = 16, 4
 _MULTIPLY = np.random.default_rng(5).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(6).integers(1, 2**63, ORDERS, dtype=np.uint64)
 
@@ -45,49 +46,53 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """The tokens that come first under an order, so many that sets as similar as asked for share one.
+def prefix(s: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """The tokens that come first under an order, so many that sets as similar as asked for share 1 + n // SLACK of them.
 
-    An order is by the frequency of a token's bucket (in all texts), then by hash; orders differ in the hash.
+    An order is by the frequency of a token's bucket in all texts (in steps of half a power of two), then by a hash; orders
+    differ in the hash.
     """
     n = len(s)
-    with np.errstate(over="ignore"):
-        h = mix(s ^ _SALT[order])
-    size = n - -(-PERCENT * n // 100) + 1
+    size = n - -(-PERCENT * n // 100) + 1 + n // SLACK
     if size >= n:
         return s
-    rank = counts[(h % np.uint64(BUCKETS)).astype(np.int64), order]
-    return s[np.lexsort((h, rank))[:size]]
+    with np.errstate(over="ignore"):
+        h = mix(s ^ _SALT[order])
+    return s[np.lexsort((h, levels[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:size]]
 
 
 def _tally(batches):
-    sums = np.zeros((BUCKETS, ORDERS), np.int64)
+    sums = np.zeros(BUCKETS, np.int64)
     for _, texts in pieces(batches, "text"):
-        sets = shingle_sets(texts)
-        every = np.concatenate(sets)
-        for k in range(ORDERS):
-            sums[:, k] += np.bincount((mix(every ^ _SALT[k]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(sums.any(1))
+        sums += np.bincount((np.concatenate(shingle_sets(texts)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(sums)
     for a in range(0, len(at), 50_000):
-        part = at[a : a + 50_000]
-        yield pa.RecordBatch.from_pydict({"bucket": part, **{f"n{k}": sums[part, k] for k in range(ORDERS)}})
+        yield pa.RecordBatch.from_pydict({"bucket": at[a : a + 50_000].astype(np.int32), "n": sums[at[a : a + 50_000]]})
 
 
 def _prefixes(shared):
     def run(batches):
         for batch, texts in pieces(batches, "text"):
-            counts = shared.value
             sets = shingle_sets(texts)
-            first = [prefix(s, counts, 0).view(np.int64) for s in sets]
-            signs = np.array([int(mix(s ^ np.uint64(77)).sum()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "sign", "prefix"])
+            first = [prefix(s, shared.value, 0).view(np.int64) for s in sets]
+            sign = lambda k: pa.array(np.array([mix(s ^ np.uint64(k)).sum() if len(s) else 0 for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), sign(77), sign(78), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "key", "n", "s1", "s2", "prefix"])
 
     return run
 
 
+def _sets(batches):
+    for batch, texts in pieces(batches, "text"):
+        sets = shingle_sets(texts)
+        sizes = [len(s) for s in sets]
+        node = np.repeat(batch.column("node").to_numpy(), sizes)
+        yield pa.RecordBatch.from_pydict({"node": node, "n": np.repeat(np.array(sizes, np.int32), sizes), "token": np.concatenate(sets).view(np.int64)})
+
+
 def _verify(shared):
+    """Pairs of texts that share enough prefix tokens under every order, and then enough shingles in all."""
+
     def run(batches):
-        counts = shared.value
         for batch in batches:
             a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
             distinct = list(dict.fromkeys(a + b))
@@ -95,34 +100,39 @@ def _verify(shared):
             lo = size = 0
             for k, t in enumerate(distinct):
                 size += len(t)
-                if size > 1 << 21 or k == len(distinct) - 1:
+                if size > CHUNK or k == len(distinct) - 1:
                     sets.update(zip(distinct[lo : k + 1], shingle_sets(distinct[lo : k + 1])))
                     lo, size = k + 1, 0
-            firsts = {t: [prefix(s, counts, k) for k in range(1, ORDERS)] for t, s in sets.items()}
-            linked = []
+            firsts = {t: [prefix(s, shared.value, k) for k in range(1, ORDERS)] for t, s in sets.items()}
+            common = lambda x, y: len(np.intersect1d(x, y, assume_unique=True))
+            linked, both = [], []
             for x, y in zip(a, b):
-                ok = all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(firsts[x], firsts[y]))
-                if ok:
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    ok = 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both)
-                linked.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                n, m = len(sets[x]), len(sets[y])
+                both.append(common(sets[x], sets[y]))
+                ok = all(common(p, q) > min(n, m) // SLACK for p, q in zip(firsts[x], firsts[y]))
+                linked.append(ok and 100 * both[-1] >= PERCENT * (n + m - both[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(both, pa.int32())], ["a", "b", "linked", "common"])
 
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _near(x: Column, y: Column) -> Column:
+    """Whether sets (n tokens, t of them in other sets too) can be similar enough, by size and by what they can share."""
+    sizes = F.lit(PERCENT) * F.greatest(x["n"], y["n"]) <= 100 * F.least(x["n"], y["n"])
+    return sizes & ((100 + PERCENT) * F.least(x["t"], y["t"]) >= PERCENT * (x["n"] + y["n"]))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
-    """key, doc_id, n_shingles, component_id: one row a document.
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, rounds: int = ROUNDS) -> DataFrame:
+    """key, doc_id, n_shingles, component_id, root: one row a document (root names its component, null without shingles).
 
-    Texts of one set are one class from the start (told by a 64-bit sum and the size); what follows is about classes. A
-    class is listed under its prefix tokens of the first order; classes that share one and are near enough in size are
-    candidates, tested under the other orders when their texts meet, and then compared whole. Pairs whose classes are
-    already connected are not compared, so a group of thousands of near copies takes about as many comparisons as it has
-    members; no pair is left out that could still connect two components.
+    Texts of one set are one class from the start (told by two 64-bit sums and the size); what follows is about classes.
+    A class is listed under its prefix tokens of the first order. Pairs must share more than a twelfth of the smaller set as
+    prefix tokens, so classes with fewer tokens in company are set aside. Those that are left are listed again, in an order
+    by the exact number of them that hold a token: prefixes are then of the rarest. Classes near enough in size that share
+    enough there are candidates; the other orders are tested when their texts meet, and then the whole sets. Tokens of few
+    classes give their pairs at once. Those of many first give pairs with one member at a time, and pairs whose classes are
+    connected by then are not compared, so a group of thousands of near copies takes about as many comparisons as it has
+    members; all pairs that could still connect components follow.
 
     Null and empty texts have no shingles and are their own component. A component's id is its smallest document id (null
     ids aside). Repeated rows are in one class. Columns other than id and text are not looked at.
@@ -131,79 +141,106 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sma
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    names = [f"n{k}" for k in range(ORDERS)]
-    tally = d.select("text").mapInArrow(_tally, "bucket long, " + ", ".join(f"{n} long" for n in names))
-    counts = np.zeros((BUCKETS, ORDERS), np.int64)
-    found = tally.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # BUCKETS rows at most
-    counts[found["bucket"].to_numpy()] = np.column_stack([found[n].to_numpy() for n in names])
-    shared = spark.sparkContext.broadcast(counts)
+    found = d.select("text").mapInArrow(_tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    usual = max(1.0, float(np.median(counts)))
+    shared = spark.sparkContext.broadcast(np.maximum(0, np.floor(2 * np.log2(np.maximum(counts, 1) / usual))).astype(np.int8))
     kind = d.schema["doc_id"].dataType.simpleString()
-    rows = materialize(d.mapInArrow(_prefixes(shared), f"doc_id {kind}, key string, n_shingles long, sign long, prefix array<bigint>"))
-    node = F.concat_ws(":", F.col("n_shingles").cast("string"), F.col("sign").cast("string"))
-    full = rows.filter("n_shingles > 0").withColumn("node", node)
-
-    # classes under their tokens, where a token has at least two
-    classes = full.groupBy("node", "n_shingles").agg(F.min("key").alias("key"), F.first("prefix").alias("prefix"))
-    listed = classes.select(F.col("n_shingles").alias("n"), F.split("node", ":")[1].cast("long").alias("sign"), F.explode("prefix").alias("token"))
-    listed = listed.withColumn("members", F.count("*").over(W.partitionBy("token"))).filter("members > 1")
-    groups = materialize(listed.select("token", F.concat_ws(":", F.col("n").cast("string"), F.col("sign").cast("string")).alias("node"), "n"))
-    wanted = groups.select("node").distinct()
-    keys = full.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    keys = materialize(keys)
-    texts = materialize(d.select("key", "text").join(_small(keys), "key").dropDuplicates(["node"]).select("node", "text"))
-
-    done = links = None
-    for turn in range(rounds + 2):
-        if links is None:
-            live = groups.withColumn("root", F.col("node"))
-        else:
-            roots = components(links)
-            live = groups.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        spread = live.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).alias("one"))
-        spread = spread.filter("low <> high").select("token", "members", "one")
-        live = live.join(spread, "token")
-        if links is None:
-            groups = materialize(live.select("token", "node", "n"))
-        star = live.filter("root <> one.root").select(F.col("one.node").alias("x"), F.col("one.n").alias("x_n"), F.col("node").alias("y"), F.col("n").alias("y_n"))
+    rows = materialize(d.mapInArrow(_prefixes(shared), f"doc_id {kind}, key string, n long, s1 long, s2 long, prefix array<bigint>"))
+    classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.first("prefix").alias("prefix"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers hold from here on, as the table is read back
+
+    listed = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    members = F.count("*").over(W.partitionBy("token"))
+    listed = materialize(listed.withColumn("members", members).filter("members > 1"))
+    # a class with fewer shared tokens than any pair of it needs takes part in none; what is left is a small part of all
+    needed = F.floor(F.col("n") * PERCENT / (100 * SLACK))
+    alive = lambda df: materialize(df.groupBy("node", "n").agg(F.count("*").alias("live")).filter(F.col("live") > needed).select("node"))
+    keys = materialize(classes.select("node", "key").join(alive(listed), "node", "left_semi"))
+    texts = materialize(d.select("key", "text").join(small(keys), "key").select("node", "text").dropDuplicates(["node"]))
+    # among those, the order is by the exact number of sets that hold a token, so that prefixes are of the rarest
+    sets = materialize(texts.mapInArrow(_sets, "node long, n int, token long"))
+    often = sets.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
+    shared_ = sets.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("t"))
+    size = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / SLACK)
+    first = F.slice("t", F.lit(1), F.greatest(size - (F.col("n") - F.size("t")), F.lit(0)).cast("int"))
+    shared_ = shared_.filter(100 * F.size("t") >= PERCENT * F.col("n"))
+    listed = shared_.select("node", "n", F.size("t").alias("t"), F.explode(first).alias("x")).select("node", "n", "t", "x.token").withColumn("members", members).filter("members > 1")
+    listed = materialize(listed)
+    listed = materialize(listed.drop("members").join(small(alive(listed)), "node", "left_semi").withColumn("members", members).filter("members > 1"))
+    listed = materialize(listed.filter(F.col("members") <= few).groupBy("token").agg(F.collect_list(F.struct("node", "n", "t")).alias("m")).select(F.lit(None).cast("long").alias("token"), "m").unionByName(listed.filter(F.col("members") > few).select("token", F.array(F.struct("node", "n", "t")).alias("m"))))
+    member = lambda i: F.get("m", i)
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(member(i).alias("x"), member(j).alias("y")))))
+    small_pairs = listed.filter("token is null").select(F.explode(F.filter(two, lambda p: _near(p["x"], p["y"]))).alias("p"))
+    as_pairs = lambda df, x, y, *more: df.select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"), F.least(f"{x}.n", f"{y}.n").alias("least"), *more)
+    base = materialize(as_pairs(small_pairs, "p.x", "p.y").groupBy("a", "b", "least").agg(F.count("*").alias("shared")))
+    groups = listed.filter("token is not null").select("token", F.get("m", F.lit(0)).alias("m"))
+
+    enough = F.col("shared") > F.floor(F.col("least") / SLACK)
+    pairs = base.filter(enough).select("a", "b")
+    many = not groups.isEmpty()
+    done = links = hubs = shares = None
+    for turn in range(rounds + 2 if many else 1):
         if turn:
-            each = live.filter((F.col("members") <= small) | F.lit(turn > rounds)).select("token", "node", "n", "root")
-            left, right = each.alias("l"), each.alias("r")
-            pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
-            star = star.unionByName(pairs.select(F.col("l.node").alias("x"), F.col("l.n").alias("x_n"), F.col("r.node").alias("y"), F.col("r.n").alias("y_n")))
-        near = star.filter(F.lit(PERCENT) * F.greatest("x_n", "y_n") <= 100 * F.least("x_n", "y_n"))
-        pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            live = groups.select("token", F.col("m.node").alias("node"), "m")
+            if links is not None:
+                live = live.join(components(links), "node", "left")
+            else:
+                live = live.withColumn("root", F.lit(None).cast("long"))
+            live = materialize(live.select("token", "m", F.coalesce("root", "node").alias("root")))
+            # first the members with the fewest tokens of their own, which are nearest to most; then any
+            lead = (F.xxhash64("m.node", F.lit(turn)) if turn > 2 else (F.col("m.n") - F.col("m.t")).cast("long") * 2 + F.pmod(F.xxhash64("m.node", F.lit(turn)), F.lit(2))).alias("lead")
+            spread = live.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(lead, "m", "root")).alias("one")).filter("low <> high").select("token", "one")
+            live = materialize(live.join(spread, "token"))
+            hubs = materialize(spread.select("token", F.col("one.m.node").alias("hub"))) if turn == 1 else hubs
+            if live.isEmpty():
+                break
+            if turn <= rounds:
+                drawn = live.filter("root <> one.root").select(F.col("one.m").alias("x"), F.col("m").alias("y"))
+            else:
+                # what two sets share is in the hub's set, or in neither more than each has beside the hub's
+                at = live.select("token", "m", "root", F.col("m.node").alias("node")).join(hubs, "token", "left")
+                at = at.join(shares, ["node", "hub"], "left") if shares is not None else at.withColumn("c", F.lit(None).cast("int"))
+                at = at.join(live.groupBy(F.col("m.node").alias("node")).agg(F.collect_list("token").alias("own")), "node")
+                left, right = at.alias("l"), at.alias("r")
+                most = F.least("l.c", "r.c") + F.least(F.col("l.m.t") - F.col("l.c"), F.col("r.m.t") - F.col("r.c"))
+                could = F.col("l.c").isNull() | F.col("r.c").isNull() | ((100 + PERCENT) * most >= PERCENT * (F.col("l.m.n") + F.col("r.m.n")))
+                apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & _near(F.col("l.m"), F.col("r.m"))
+                # a pair comes up once, at the least of the tokens that both have
+                mine = F.array_intersect("l.own", "r.own")
+                drawn = left.join(right, (F.col("l.token") == F.col("r.token")) & apart & could & (F.array_min(mine) == F.col("l.token")))
+                drawn = as_pairs(drawn.select(F.col("l.m").alias("x"), F.col("r.m").alias("y"), F.size(mine).alias("more")), "x", "y", "more")
+            if turn <= rounds:
+                drawn = as_pairs(drawn.filter(_near(F.col("x"), F.col("y"))), "x", "y").groupBy("a", "b", "least").agg(F.count("*").alias("more"))
+            both = drawn.join(base.select("a", "b", "shared"), ["a", "b"], "left").withColumn("shared", F.col("more") + F.coalesce("shared", F.lit(0)))
+            pairs = both.filter(enough).select("a", "b")
+            pairs = pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs
         pairs = materialize(pairs)
         if pairs.isEmpty():
-            if turn and turn <= rounds and not _larger(live, small):
-                break
-            if turn > rounds:
-                break
             continue
-        met = texts.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-        met = met.select("node", "text")
-        both = pairs.join(met.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(met.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        checked = materialize(both.mapInArrow(_verify(shared), "a string, b string, linked boolean"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        met = texts.join(small(nodes), "node", "left_semi")
+        side = lambda c: met.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+        checked = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(shared), "a long, b long, linked boolean, common int"))
+        if turn == 1:
+            way = lambda x, y: checked.select(F.col(x).alias("node"), F.col(y).alias("hub"), F.col("common").alias("c"))
+            shares = materialize(way("a", "b").unionByName(way("b", "a")))
         done = pairs if done is None else done.unionByName(pairs)
         new = checked.filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
 
+    full = rows.filter("n > 0").select("doc_id", "key", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"])
     named = full.groupBy("node").agg(F.min("doc_id").alias("low"))
     if links is not None:
         roots = components(links)
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-        named = named.join(ids, "root").select("node", "component_id")
+        named = named.join(ids, "root").select("node", "component_id", "root")
     else:
-        named = named.select("node", F.col("low").alias("component_id"))
-    out = full.join(named, "node").select("key", "doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.filter("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _larger(live: DataFrame, small: int) -> bool:
-    """Whether a group above `small` is still spread over components."""
-    return not live.filter(F.col("members") > small).isEmpty()
+        named = named.select("node", F.col("low").alias("component_id"), F.col("node").alias("root"))
+    out = full.join(named, "node").select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
+    return out.unionByName(rows.filter("n = 0").select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
