@@ -42,7 +42,7 @@ def _scorer(ratio: np.ndarray):
         for batch, texts in pieces(batches, "text"):
             bucket, of = hashed_ngrams(texts)
             sums = np.bincount(of, ratio[bucket], minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sums)], ["doc_id", "key", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sums, pa.float64())], ["doc_id", "key", "log_weight"])
 
     return score
 
