@@ -49,7 +49,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no plan yet to run reads."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a lookup table (keys, terms: some 100 bytes each) that small() marks for broadcast at most.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import materialize
+from tarnwell.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").filter("a <> b").distinct())
     mark = None
     while True:
-        edges = materialize(star(star(edges, True), False))
+        last, edges = edges, materialize(star(star(edges, True), False))
+        discard(last)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tarnwell.llm.common import materialize, row_key, small, table
+from tarnwell.llm.common import discard, materialize, row_key, small, table
 from tarnwell.llm.components import components
 from tarnwell.llm.hashing import CHUNK, mix, pieces, word_hashes
 
@@ -19,7 +19,7 @@ BUCKETS, ORDERS = 1 << 18, 3
 SLACK = 12
 #: Groups of a token with up to FEW members give their pairs at once; larger ones give those with one member a round, for
 #: ROUNDS rounds, and then the pairs that are left between components.
-FEW, ROUNDS = 16, 4
+FEW, ROUNDS = 16, 2
 _MULTIPLY = np.random.default_rng(5).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(6).integers(1, 2**63, ORDERS, dtype=np.uint64)
 
@@ -159,6 +159,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few
     alive = lambda df: materialize(df.groupBy("node", "n").agg(F.count("*").alias("live")).filter(F.col("live") > needed).select("node"))
     keys = materialize(classes.select("node", "key").join(alive(listed), "node", "left_semi"))
     texts = materialize(d.select("key", "text").join(small(keys), "key").select("node", "text").dropDuplicates(["node"]))
+    discard(listed)
     # among those, the order is by the exact number of sets that hold a token, so that prefixes are of the rarest
     sets = materialize(texts.mapInArrow(_sets, "node long, n int, token long"))
     often = sets.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
@@ -167,9 +168,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few
     first = F.slice("t", F.lit(1), F.greatest(size - (F.col("n") - F.size("t")), F.lit(0)).cast("int"))
     shared_ = shared_.filter(100 * F.size("t") >= PERCENT * F.col("n"))
     listed = shared_.select("node", "n", F.size("t").alias("t"), F.explode(first).alias("x")).select("node", "n", "t", "x.token").withColumn("members", members).filter("members > 1")
-    listed = materialize(listed)
-    listed = materialize(listed.drop("members").join(small(alive(listed)), "node", "left_semi").withColumn("members", members).filter("members > 1"))
-    listed = materialize(listed.filter(F.col("members") <= few).groupBy("token").agg(F.collect_list(F.struct("node", "n", "t")).alias("m")).select(F.lit(None).cast("long").alias("token"), "m").unionByName(listed.filter(F.col("members") > few).select("token", F.array(F.struct("node", "n", "t")).alias("m"))))
+    again = materialize(listed)
+    discard(sets)
+    pruned = materialize(again.drop("members").join(small(alive(again)), "node", "left_semi").withColumn("members", members).filter("members > 1"))
+    listed = materialize(pruned.filter(F.col("members") <= few).groupBy("token").agg(F.collect_list(F.struct("node", "n", "t")).alias("m")).select(F.lit(None).cast("long").alias("token"), "m").unionByName(pruned.filter(F.col("members") > few).select("token", F.array(F.struct("node", "n", "t")).alias("m"))))
+    discard(again, pruned)
     member = lambda i: F.get("m", i)
     two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(member(i).alias("x"), member(j).alias("y")))))
     small_pairs = listed.filter("token is null").select(F.explode(F.filter(two, lambda p: _near(p["x"], p["y"]))).alias("p"))
@@ -180,15 +183,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few
     enough = F.col("shared") > F.floor(F.col("least") / SLACK)
     pairs = base.filter(enough).select("a", "b")
     many = not groups.isEmpty()
-    done = links = hubs = shares = None
+    done = links = roots = hubs = shares = None
     for turn in range(rounds + 2 if many else 1):
         if turn:
             live = groups.select("token", F.col("m.node").alias("node"), "m")
             if links is not None:
-                live = live.join(components(links), "node", "left")
+                roots = roots if roots is not None else components(links)
+                live = live.join(roots, "node", "left")
             else:
                 live = live.withColumn("root", F.lit(None).cast("long"))
-            live = materialize(live.select("token", "m", F.coalesce("root", "node").alias("root")))
+            every = live = materialize(live.select("token", "m", F.coalesce("root", "node").alias("root")))
             # first the members with the fewest tokens of their own, which are nearest to most; then any
             lead = (F.xxhash64("m.node", F.lit(turn)) if turn > 2 else (F.col("m.n") - F.col("m.t")).cast("long") * 2 + F.pmod(F.xxhash64("m.node", F.lit(turn)), F.lit(2))).alias("lead")
             spread = live.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(lead, "m", "root")).alias("one")).filter("low <> high").select("token", "one")
@@ -217,6 +221,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few
             pairs = both.filter(enough).select("a", "b")
             pairs = pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs
         pairs = materialize(pairs)
+        if turn:
+            discard(every, live)
         if pairs.isEmpty():
             continue
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -228,12 +234,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few
             shares = materialize(way("a", "b").unionByName(way("b", "a")))
         done = pairs if done is None else done.unionByName(pairs)
         new = checked.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            links, roots = new if links is None else links.unionByName(new), None
 
     full = rows.filter("n > 0").select("doc_id", "key", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"])
     named = full.groupBy("node").agg(F.min("doc_id").alias("low"))
     if links is not None:
-        roots = components(links)
+        roots = roots if roots is not None else components(links)
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
         named = named.join(ids, "root").select("node", "component_id", "root")
