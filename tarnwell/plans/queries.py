@@ -312,6 +312,21 @@ NAMED = "e AS (SELECT DISTINCT caller_name, callee_name, caller_file, caller_lin
 @query(f"""WITH {NAMED}, reach AS (SELECT '{CALLEE}' AS name, 0 AS depth UNION ALL SELECT e.caller_name, r.depth + 1 FROM reach r JOIN e ON e.callee_name = r.name WHERE r.depth < 2),
 seen AS (SELECT name, min(depth) AS depth FROM reach GROUP BY name)
 SELECT DISTINCT e.caller_name AS caller, e.callee_name AS callee, e.caller_file AS file, e.caller_line AS line, s.depth + 1 AS depth FROM seen s JOIN e ON e.callee_name = s.name LEFT JOIN seen t ON t.name = e.caller_name
+#: The same walk to its end: a pair that has been reached isn't reached again.
+WHOLE_WALK = f"""{LIVE}, walk(symbol_id, caller_id, depth) USING KEY (symbol_id, caller_id) AS (SELECT c, up, 1 FROM live UNION SELECT DISTINCT w.symbol_id, live.up, w.depth + 1 FROM walk w JOIN live ON w.caller_id = live.c
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.symbol_id = w.symbol_id AND r.caller_id = live.up))"""
+
+
+@query(f"WITH {WHOLE_WALK} SELECT symbol_id, caller_id, depth FROM walk", recursive=True)
+def closure(i):
+    return graph.closure(graph.live_edges(i))
+
+
+@query(f"WITH {WHOLE_WALK} SELECT depth, count(*) AS n_callers FROM walk WHERE symbol_id = (SELECT min(id) FROM symbols WHERE name = '{ROOT}') GROUP BY depth", recursive=True)
+def blast_radius_full(i):
+    return graph.blast_radius(graph.closure(graph.live_edges(i)), i.symbols, i.files, ROOT).select("depth", "n_callers")
+
+
 WHERE s.depth < 2 AND coalesce(t.depth, 99) = s.depth + 1""", recursive=True)
 def trace_2(i):
     return graph.trace(graph.edge_view(i), CALLEE, 2).drop("chain")
