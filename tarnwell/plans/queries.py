@@ -338,6 +338,12 @@ SELECT f.id, s.name, s.kind, path, s.line_start, min(f.depth) AS depth FROM flow
 def endpoint_flow_4(i):
     return graph.endpoint_flow(i, START, 4).drop("calls")
 
+@query(f"""WITH {NAMED}, seen(name, depth) USING KEY (name) AS (SELECT '{CALLEE}', 0 UNION SELECT DISTINCT e.caller_name, s.depth + 1 FROM seen s JOIN e ON e.callee_name = s.name WHERE s.depth < 5 AND NOT EXISTS (SELECT 1 FROM recurring.seen r WHERE r.name = e.caller_name))
+SELECT DISTINCT e.caller_name AS caller, e.callee_name AS callee, e.caller_file AS file, e.caller_line AS line, t.depth FROM seen s JOIN e ON e.callee_name = s.name JOIN seen t ON t.name = e.caller_name AND t.depth = s.depth + 1""", recursive=True)
+def trace(i):
+    return graph.trace(graph.edge_view(i), CALLEE).drop("chain")
+
+
 
 # --- imports -------------------------------------------------------------------------------------------------------------
 @query(f"SELECT module, level, is_star FROM imports i JOIN files f ON f.id = i.file_id WHERE path = '{PATH}'")
@@ -345,6 +351,13 @@ def file_imports(i):
     return deps.file_imports(i.imports, i.files, PATH)
 
 
+@query(f"""WITH firsts AS (SELECT name, min(id) AS id FROM symbols GROUP BY name), go AS (SELECT DISTINCT caller_id AS a, f.id AS b FROM call_edges e JOIN firsts f ON f.name = e.callee_name),
+flow(id, depth) USING KEY (id) AS (SELECT min(id), 0 FROM symbols WHERE name ILIKE '%{START}%' UNION SELECT DISTINCT go.b, flow.depth + 1 FROM flow JOIN go ON go.a = flow.id WHERE flow.depth < 8 AND NOT EXISTS (SELECT 1 FROM recurring.flow r WHERE r.id = go.b))
+SELECT f.id, s.name, s.kind, path, s.line_start, f.depth FROM flow f JOIN symbols s ON s.id = f.id JOIN files ON files.id = s.file_id""", recursive=True)
+def endpoint_flow(i):
+    return graph.endpoint_flow(i, START).drop("calls")
+
+
 @query("SELECT path, module, level, is_star FROM imports i JOIN files f ON f.id = i.file_id WHERE module = 'src3' OR starts_with(module, 'src3.')")
 def importers(i):
     return deps.importers(i.imports, i.files, "src3")

@@ -1,5 +1,7 @@
 """Queries that go all the way, against plain Python."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,23 @@ def test_blast_radius_query_has_all_depths(spark, sf, index, monkeypatch):
     depths = list(reached(up, first[name]).values())
     assert max(depths) > 3
     assert {tuple(r) for r in queries.QUERIES["blast_radius_full"](spark, sf).collect()} == {(d, depths.count(d)) for d in depths}
+
+
+def test_trace_query_goes_five_deep(spark, sf, index):
+    edges = {(r.caller_name, r.callee_name, r.caller_file, r.caller_line) for r in graph.edge_view(index).collect()}
+    depth = reached(by((b, a) for a, b, *_ in edges), queries.CALLEE, 5)
+    depth[queries.CALLEE] = 0
+    want = {(*e, depth[e[0]]) for e in edges if e[1] in depth and depth.get(e[0]) == depth[e[1]] + 1}
+    assert {tuple(r) for r in queries.QUERIES["trace"](spark, sf).collect()} == want
+    assert max(w[-1] for w in want) == 5
+
+
+def test_endpoint_flow_query_goes_eight_deep(spark, monkeypatch):
+    rows = [(f"n{c}", f"n{chr(ord(c) + 1)}") for c in "abcdefghijk"] + [("nd", "nb")]
+    names = sorted({n for e in rows for n in e})
+    files = spark.createDataFrame([(1, "f.py")], "id long, path string")
+    symbols = spark.createDataFrame([(k, 1, n, "function", k) for k, n in enumerate(names)], "id long, file_id long, name string, kind string, line_start int")
+    calls = spark.createDataFrame([(names.index(a), b) for a, b in rows], "caller_id long, callee_name string")
+    monkeypatch.setattr(queries, "START", "na")
+    monkeypatch.setattr(queries, "derive", lambda *_: SimpleNamespace(files=files, symbols=symbols, call_edges=calls))
+    assert {(r.name, r.depth) for r in queries.QUERIES["endpoint_flow"](spark, "").collect()} == {(n, d) for d, n in enumerate(names[:9])}
