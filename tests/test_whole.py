@@ -67,3 +67,11 @@ def test_endpoint_flow_query_goes_eight_deep(spark, monkeypatch):
     monkeypatch.setattr(queries, "START", "na")
     monkeypatch.setattr(queries, "derive", lambda *_: SimpleNamespace(files=files, symbols=symbols, call_edges=calls))
     assert {(r.name, r.depth) for r in queries.QUERIES["endpoint_flow"](spark, "").collect()} == {(n, d) for d, n in enumerate(names[:9])}
+
+
+def test_symbol_sources_of_every_kind(spark, sf, index):
+    lines = {(r.file_id, r.line_no): r.text for r in index.lines.collect()}
+    want = {r.id: "\n".join(lines[r.file_id, k] for k in range(r.line_start, r.line_end + 1)) for r in index.symbols.collect()}
+    rows = queries.QUERIES["symbol_sources_all"](spark, sf).collect()
+    assert len(rows) == len(want) and {r.id: r.source for r in rows} == want
+    assert {r.kind for r in rows} == {"function", "method", "interface", "class"}
