@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tarnwell.llm.common import WORD, materialize, row_key, table
+from tarnwell.llm.common import WORD, materialize, row_key, small, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
@@ -44,8 +44,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Within its source every row expects target / source_size copies. Rows are laid out by size, so that the sample is
     even over short and long texts; the prefix sum of expected copies plus one offset for each source is cut at the
     integers, and a row is taken once for each integer in its stretch. The prefix is a rank times a constant, and the
-    rank is a group's start plus a place in the group: groups are (source, size class, salt) with as many salts as keep
-    them small, so a hot source is ranked by many tasks.
+    rank is a group's start plus a place in the group: groups are (source, size, first digits of the id's MD5), with digits
+    only where a size of a source has over `group_rows` rows. As rows go by size, MD5 and key, groups follow each other in
+    that order, and the rank is the same for any `group_rows`; a hot source is ranked by many tasks.
 
     Null or empty texts have size 0 and take no words. A null source is a source. Repeated rows are rows of their own
     (they share a key; which of them is taken more often doesn't matter). An empty table gives none. Other columns are
@@ -60,17 +61,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             row_key(F.col(id_col), text).alias("key"),
         )
     )
-    salts = max(1, -(-slim.count() // group_rows))
-    slim = slim.withColumn("band", F.floor(F.log2(F.col("size") + 1) * 8)).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
-    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    groups = slim.groupBy("source", "band", "salt").agg(F.count("*").alias("n"))
-    before = W.partitionBy("source").orderBy("band", "salt").rowsBetween(W.unboundedPreceding, -1)
+    counts = materialize(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
+    targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
+    digits = F.ceil(F.log2(F.col("n") / F.lit(group_rows)) / 4).cast("int")
+    deep = counts.filter(F.col("n") > group_rows).select(F.col("source").alias("s"), F.col("size").alias("z"), digits.alias("digits"))
+    slim = slim.withColumn("mark", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("g")))  # null ids last
+    slim = slim.join(small(deep), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    slim = slim.withColumn("part", F.substring("mark", F.lit(1), F.coalesce("digits", F.lit(0)))).drop("s", "z", "digits")
+    groups = slim.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
+    before = W.partitionBy("source").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     t, g, d = targets.alias("t"), groups.alias("g"), slim.alias("d")
-    groups = g.join(t, F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.source", "g.band", "g.salt", "g.start", "t.source_size", "t.target").alias("g")
-    place = W.partitionBy("source", "band", "salt").orderBy("size", F.md5(F.col("doc_id").cast("string").cast("binary")), "key")
+    groups = g.join(t, F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.source", "g.size", "g.part", "g.start", "t.source_size", "t.target").alias("g")
+    place = W.partitionBy("source", "size", "part").orderBy("mark", "key")
     ranked = d.withColumn("place", F.row_number().over(place) - 1).alias("d")
-    same = F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.band") == F.col("g.band")) & (F.col("d.salt") == F.col("g.salt"))
+    same = F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.size") == F.col("g.size")) & (F.col("d.part") == F.col("g.part"))
     rows = ranked.join(groups, same).select("d.key", "d.doc_id", "d.source", "d.size", "g.source_size", "g.target", (F.col("g.start") + F.col("d.place")).alias("rank"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     digest = F.md5(F.concat_ws(":", F.lit(seed), "source").cast("binary"))

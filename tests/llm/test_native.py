@@ -1,6 +1,7 @@
 """Secrets, chat, mixing, line dedup and quality rules against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -150,6 +151,20 @@ def test_mixing(spark, group_rows):
     assert Counter((r.key, r.copies) for r in got) == Counter((r.key, r.copies) for r in again)
 
 
+@pytest.mark.parametrize("group_rows", [200_000, 3])
+def test_mixing_order_is_by_size_whatever_the_groups(spark, group_rows):
+    rng = random.Random(9)
+    rows = [(k, "w " * rng.choice([0, 5, 5, 5, rng.randrange(60)]), rng.choice([None, "a", "b"])) for k in range(300)] + [(None, "n o", "a")]
+    got = mixing.mix(documents(spark, rows), group_rows=group_rows).collect()
+    assert len(got) == 301
+    for s in (None, "a", "b"):
+        own = sorted((r.size, "g" if r.doc_id is None else hashlib.md5(str(r.doc_id).encode()).hexdigest(), r) for r in got if r.source == s)
+        each = own[0][2].target / own[0][2].source_size
+        offset = int(hashlib.md5(":".join(x for x in ("mix", s) if x is not None).encode()).hexdigest()[:8], 16) / 4294967296.0
+        for p, (*_, r) in enumerate(own):
+            assert r.copies == math.floor(each * (p + 1) + offset) - math.floor(each * p + offset)
+
+
 def test_take(spark):
     docs = documents(spark, [(k, "a b " * (k % 7), "ab"[k % 2]) for k in range(60)] + [(0, "", "a"), (7, "a b " * 0, "b")] * 2)
     want = Counter()
