@@ -14,8 +14,6 @@ from tarnwell.llm.common import materialize, table
 
 #: Labelled rows of each class that the classifier is fitted on at most, and entries of its table of ratios at most.
 TRAIN_ROWS, MAX_KEYS = 8_000, 100_000
-#: Segments of a training text whose scores are brought to the driver for the fit.
-TOP = 8
 #: Weight of a prior in tokens, drift that is taken from each token's score, and lengths of the prefixes that are backed off to.
 PRIOR, DRIFT, PREFIXES = 2.0, 0.3, (4, 5, 6)
 #: A segment is significant if fewer than this many would be expected in a clean text of that length.
@@ -130,6 +128,14 @@ def _count(batches):
         yield pa.RecordBatch.from_pydict({"k": [k for (k, _), _ in part], "toxic": [y for (_, y), _ in part], "n": [n for _, n in part]}, pa.schema([("k", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
 
 
+def evidence(values: list[float], lam: float, k: float) -> tuple[list, float, float]:
+    """The significant segments of a text's word scores, the evidence of its best segment, and that of all significant ones."""
+    cut = log(k * max(1, len(values)))
+    all_ = [(x, lam * x[2] - cut) for x in segments(values)]
+    high = [x for x in all_ if x[1] >= -log(SIGNIFICANT)]
+    return [x for x, _ in high], max((e for _, e in all_), default=-cut), float(sum(e for _, e in high))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, max_keys: int = MAX_KEYS) -> dict | None:
     """The model, from labelled rows that are not held out: up to `train_rows` of each class by hash of the id.
 
@@ -168,21 +174,28 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         scores = Scores(shared.value)
         for batch in batches:
             found = [[scores[w] for w in tokens(t)] for t in batch.column("text").to_pylist()]
-            tops = [sorted((x[2] for x in segments(v)), reverse=True)[:TOP] for v in found]
-            yield pa.RecordBatch.from_pydict({"n": [len(v) for v in found], "s": tops, "toxic": batch.column("toxic")}, pa.schema([("n", pa.int64()), ("s", pa.list_(pa.float64())), ("toxic", pa.int32())]))
+            tops = [max((x[2] for x in segments(v)), default=0.0) for v in found]
+            yield pa.RecordBatch.from_pydict({"n": [len(v) for v in found], "s": tops, "toxic": batch.column("toxic")}, pa.schema([("n", pa.int64()), ("s", pa.float64()), ("toxic", pa.int32())]))
 
-    seen = rows.filter(~F.col("fit")).select("text", "toxic").mapInArrow(best, "n long, s array<double>, toxic int").collect()
+    calibration = rows.filter(~F.col("fit")).select("text", "toxic")
+    seen = calibration.mapInArrow(best, "n long, s double, toxic int").collect()
     if len({r["toxic"] for r in seen}) < 2:
         return None
-    n, y = (np.array([r[c] for r in seen], float) for c in ("n", "toxic"))
-    n, tops = np.maximum(n, 1), [np.array(r["s"] or [0.0]) for r in seen]
-    s = np.array([t[0] for t in tops])
-    lam, k = fit_extreme(n[y == 0], s[y == 0])
+    n, s, y = (np.array([r[c] for r in seen], float) for c in ("n", "s", "toxic"))
+    lam, k = fit_extreme(np.maximum(n, 1)[y == 0], s[y == 0])
     model = {"ratios": shared, "lam": lam, "k": k}
-    evidence = [lam * t - log(k * m) for t, m in zip(tops, n)]
-    high = np.array([e[e >= -log(SIGNIFICANT)].sum() for e in evidence])
+
+    def features(batches):
+        scores = Scores(shared.value)
+        for batch in batches:
+            found = [evidence([scores[w] for w in tokens(t)], lam, k)[1:] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"best": [b for b, _ in found], "high": [h for _, h in found], "toxic": batch.column("toxic")}, pa.schema([("best", pa.float64()), ("high", pa.float64()), ("toxic", pa.int32())]))
+
+    # a second pass, as a segment's evidence needs the law; the curve is fitted on what score() computes
+    again = calibration.mapInArrow(features, "best double, high double, toxic int").collect()
+    top, high, y = (np.array([r[c] for r in again], float) for c in ("best", "high", "toxic"))
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum()) * len(y) / sum(shares.values())
-    model["beta"] = fit_logistic(_shape(np.array([e[0] for e in evidence]), high), y, weight)
+    model["beta"] = fit_logistic(_shape(top, high), y, weight)
     return model
 
 
@@ -206,12 +219,9 @@ def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text_c
             if model:
                 base = []
                 for i, t in enumerate(texts):
-                    values = [scores[w] for w in tokens(t)]
-                    cut = log(model["k"] * max(1, len(values)))
-                    all_ = [(a, b, s, model["lam"] * s - cut) for a, b, s in segments(values)]
-                    high = [x for x in all_ if x[3] >= -log(SIGNIFICANT)]
-                    found[i] = [{"start": a, "stop": b, "score": s} for a, b, s, _ in high]
-                    base.append((max((x[3] for x in all_), default=-cut), sum(x[3] for x in high)))
+                    high, *feature = evidence([scores[w] for w in tokens(t)], model["lam"], model["k"])
+                    found[i] = [{"start": a, "stop": b, "score": s} for a, b, s in high]
+                    base.append(feature)
                 x = np.array(base, float)
                 probability = _sigmoid(np.column_stack([np.ones(len(x)), _shape(x[:, 0], x[:, 1])]) @ model["beta"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability), pa.array([len(f) for f in found], pa.int32()), pa.array(found, spans)], ["doc_id", "score", "n_segments", "segments"])

@@ -268,3 +268,17 @@ def test_hashed_ngrams():
     bucket, of = resampling.hashed_ngrams(["a B c", "", None or "a b", "\n"])
     one = lambda i: Counter(bucket[of == i].tolist())
     assert sum(one(0).values()) == 5 and sum(one(2).values()) == 3 and not one(1) and not (one(2) - one(0))
+
+
+def test_toxicity_is_fitted_on_all_significant_segments(spark, monkeypatch):
+    docs, labels, rows = toxic_corpus(spark, 300)
+    bad = {r.doc_id for r in labels.collect() if r.toxic == 1}
+    filler = " " + " ".join(t for i, t, _ in rows if i not in bad and t)[:300] + " "
+    long = [(i, filler.join([t] * 30) if i in bad else t, s) for i, t, s in rows]
+    shaped, shape = [], toxicity._shape
+    monkeypatch.setattr(toxicity, "_shape", lambda best, high: shaped.append(list(high)) or shape(best, high))
+    model = toxicity.train(documents(spark, long), labels)
+    scores = toxicity.Scores(model["ratios"].value)
+    own = {round(e[2], 6): len(e[0]) for _, t, _ in long for e in [toxicity.evidence([scores[w] for w in toxicity.tokens(t)], model["lam"], model["k"])]}
+    assert {round(h, 6) for h in shaped[0]} <= set(own)
+    assert max(own[round(h, 6)] for h in shaped[0]) > 8
