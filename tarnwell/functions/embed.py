@@ -39,8 +39,8 @@ def symbol_text(kind: Column, name: Column, docstring: Column, lines: Column) ->
     return F.trim(F.regexp_replace(F.concat_ws(" ", kind, name, doc, body), r"\s+", " "))
 
 
-def embed_symbols(index, done: DataFrame | None = None) -> DataFrame:
-    """Vectors of functions, classes and methods that have none yet."""
+def symbol_texts(index, done: DataFrame | None = None) -> DataFrame:
+    """symbol_id, text of functions, classes and methods that have no vector yet."""
     s = index.symbols.filter(F.col("kind").isin("function", "class", "method"))
     if done is not None:
         s = s.join(done.select(F.col("symbol_id").alias("id")), "id", "left_anti")
@@ -48,8 +48,12 @@ def embed_symbols(index, done: DataFrame | None = None) -> DataFrame:
     near = s.join(li, (F.col("file_id") == F.col("l_file")) & F.col("line_no").between(F.col("line_start"), F.least("line_end", F.col("line_start") + BODY_LINES)))
     lines = near.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines"))
     docs = index.docstrings.select(F.col("symbol_id").alias("id"), "content").dropDuplicates(["id"])
-    rows = s.join(lines, "id", "left").join(docs, "id", "left").select(F.col("id").alias("symbol_id"), symbol_text(F.col("kind"), F.col("name"), F.col("content"), F.col("lines")).alias("text"))
-    return rows.select("symbol_id", encode_column(F.col("text")).alias("embedding"), F.lit(MODEL).alias("model"))
+    return s.join(lines, "id", "left").join(docs, "id", "left").select(F.col("id").alias("symbol_id"), symbol_text(F.col("kind"), F.col("name"), F.col("content"), F.col("lines")).alias("text"))
+
+
+def embed_symbols(index, done: DataFrame | None = None) -> DataFrame:
+    """Vectors of functions, classes and methods that have none yet."""
+    return symbol_texts(index, done).select("symbol_id", encode_column(F.col("text")).alias("embedding"), F.lit(MODEL).alias("model"))
 
 
 class EmbeddingStatus:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.functions.blocks import apply_code
+
 #: Bounds of the fuzzy matchers.
 MIDDLE_SIMILARITY, SIZE_SLACK, SAME_LINES = 0.65, 0.25, 0.5
 #: A sliding match must be this similar, and better than the next by this much.
@@ -75,7 +77,7 @@ def exact(content: str, find: str) -> Iterator[str]:
 def _common_indent(lines: list[str]) -> list[str]:
     full = [x for x in lines if x.strip()]
     cut = min((len(x) - len(x.lstrip()) for x in full), default=0)
-    return [x[cut:] if x.strip() else x for x in lines]
+    return [x[cut:] if x.strip() else "" for x in lines] if full else lines
 
 
 line_trimmed = _by_lines(lambda lines: [x.strip() for x in lines])
@@ -84,19 +86,21 @@ indentation_flexible = _by_lines(_common_indent)
 
 def whitespace_normalized(content: str, find: str) -> Iterator[str]:
     want = " ".join(find.split())
-    if want and "\n" not in find.strip("\n"):
-        yield from (x for x in content.split("\n") if " ".join(x.split()) == want)
+    yield from (x for x in content.split("\n") if " ".join(x.split()) == want)
     size = len(find.split("\n"))
-    if size > 1 and want:
+    if size > 1:
         yield from (text for text, _ in _windows(content, size) if " ".join(text.split()) == want)
 
 
 def _similarity(a: str, b: str) -> float:
+    """1 for equal texts, 0 for two empty ones, which tell nothing."""
     longest = max(len(a), len(b))
-    return 1.0 if not longest else 1 - edit_distance(a, b) / longest
+    return 0.0 if not longest else 1 - edit_distance(a, b) / longest
 
 
 def edit_distance(a: str, b: str) -> int:
+    if a == b or not a or not b:
+        return 0 if a == b else len(a) + len(b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -124,10 +128,14 @@ def block_anchor(content: str, find: str) -> Iterator[str]:
     for part, want in _anchored(content, find):
         if abs(len(part) - len(want)) > max(1, int(len(want) * SIZE_SLACK)):
             continue
-        pairs = list(zip(part[1:-1], want[1:-1]))
-        mean = sum(_similarity(a.strip(), b.strip()) for a, b in pairs) / len(pairs) if pairs else 1.0
-        if mean >= score and (best is None or mean > score):
-            best, score = "\n".join(part), mean
+        pairs, alike = list(zip(part[1:-1], want[1:-1])), 0.0
+        for a, b in pairs:  # no further than to the bound: what is similar enough is not ranked
+            alike += _similarity(a.strip(), b.strip()) / len(pairs)
+            if alike >= MIDDLE_SIMILARITY:
+                break
+        alike = alike if pairs else 1.0
+        if alike >= score and (best is None or alike > score):
+            best, score = "\n".join(part), alike
     if best is not None:
         yield best
 
@@ -144,6 +152,8 @@ def escape_normalized(content: str, find: str) -> Iterator[str]:
     plain = find.replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r").replace("\\\\", "\\")
     if plain in content:
         yield plain
+    unescaped = lambda x: x.replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r").replace("\\\\", "\\")
+    yield from (text for text, _ in _windows(content, len(plain.split("\n"))) if text != plain and unescaped(text) == plain)
 
 
 def trimmed_boundary(content: str, find: str) -> Iterator[str]:
@@ -160,8 +170,9 @@ MATCHERS = (exact, line_trimmed, block_anchor, whitespace_normalized, indentatio
 
 
 def disproportionate(found: str, wanted: str) -> bool:
-    """Whether a match is far longer than the text to find."""
-    return len(found.split("\n")) > max(3 + len(wanted.split("\n")), 2 * len(wanted.split("\n"))) or len(found) > 500 + 4 * len(wanted)
+    """Whether a match is far longer than the text to find: in lines, and for several lines in characters too."""
+    n, size = len(wanted.split("\n")), len(wanted.strip())
+    return len(found.split("\n")) >= max(n + 3, 2 * n) or (n > 1 and len(found.strip()) > max(size + 500, 4 * size))
 
 
 def fuzzy_replace(content: str, old: str, new: str, replace_all: bool = False) -> tuple[str | None, str | None]:
@@ -212,8 +223,6 @@ def preview_edits(rows: DataFrame, mode: str = "fuzzy", replace_all: bool = Fals
 
     @F.pandas_udf(PREVIEW)
     def preview(path: pd.Series, content: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        from tarnwell.functions.blocks import apply_code
-
         out = []
         for p, c, o, n in zip(path, content, old, new):
             c, o, n = ((x or "").replace("\r\n", "\n") for x in (c, o, n))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Share of unresolved calls above which an index isn't fit for the unused audit.
 MAX_UNRESOLVED = 0.30
-# Names that need no definition, by language.
+#: Names that need no definition, by language.
 BUILTINS = {
     "python": ("abs", "all", "any", "bool", "bytes", "callable", "dict", "dir", "enumerate", "eval", "exec", "filter", "float", "format", "getattr", "hasattr", "hash", "id", "input", "int", "isinstance", "issubclass", "iter", "len", "list", "map", "max", "min", "next", "open", "ord", "pow", "print", "range", "repr", "reversed", "round", "set", "setattr", "sorted", "str", "sum", "super", "tuple", "type", "vars", "zip"),
     "javascript": ("alert", "clearInterval", "clearTimeout", "decodeURIComponent", "encodeURIComponent", "fetch", "isNaN", "parseFloat", "parseInt", "require", "setInterval", "setTimeout"),

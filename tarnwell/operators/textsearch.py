@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tarnwell.sources.scan import LANGUAGE_ALIASES
+from tarnwell.sources.scan import LANGUAGE_ALIASES, SEARCH_SKIP, in_skipped
 
 PER_FILE = 20
 
@@ -20,14 +21,15 @@ def _hit(query: str, regex: bool) -> tuple[Column, Column]:
     return F.contains("text", F.lit(query)), F.instr("text", F.lit(query)) - 1
 
 
-def search_code(lines: DataFrame, files: DataFrame, query: str, *, lang: str | None = None, limit: int = 50, context: int = 0, regex: bool = False) -> DataFrame:
+def search_code(lines: DataFrame, files: DataFrame, query: str, *, lang: str | None = None, limit: int = 50, context: int = 0, regex: bool = False, exclude_dirs: Sequence[str] = SEARCH_SKIP) -> DataFrame:
     """file, line, col, text (right-trimmed) and, if asked for, before and after: matching lines by path and line.
 
-    A file gives up to min(limit, 20) matches. An unknown language is no filter. A blank query gives nothing; one with a
+    Files below excluded folders are left out. A file gives up to min(limit, 20) matches. An unknown language is no filter. A blank query gives nothing; one with a
     line break is matched on whole files. Context is a frame over the file's lines, so neighbouring matches share it.
     """
     if not query.strip():
         return lines.select(F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(0).alias("col"), "text").limit(0)
+    files = files.filter(~in_skipped(F.col("path"), exclude_dirs)) if exclude_dirs else files
     files = files.select(F.col("id").alias("file_id"), F.col("path").alias("file"), "lang")
     if lang and lang.lower() in LANGUAGE_ALIASES:
         files = files.filter(F.col("lang") == LANGUAGE_ALIASES[lang.lower()])
@@ -46,14 +48,15 @@ def search_code(lines: DataFrame, files: DataFrame, query: str, *, lang: str | N
 
 
 def search_multiline(lines: DataFrame, files: DataFrame, query: str, limit: int, regex: bool = False) -> DataFrame:
-    """First match of a pattern over line breaks in each file."""
+    """file, line, col, text: matches of a pattern over line breaks, by file and place, up to min(limit, 20) of a file."""
     pattern = r"\r?\n".join(p if regex else re.escape(p) for p in query.split("\n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
     whole = lines.join(files, "file_id").groupBy("file_id", "file").agg(text.alias("text")).filter(F.regexp_like("text", F.lit(pattern)))
-    before = F.element_at(F.split(F.col("text"), f"(?:{pattern})", 2), 1)
-    line = F.size(F.split(before, "\n"))
-    col = F.length(F.element_at(F.split(before, "\n"), -1))
-    return whole.select("file", line.alias("line"), col.alias("col"), F.regexp_extract("text", f"({pattern})", 1).alias("text")).orderBy("file").limit(limit)
+    whole = whole.select("file", F.split("text", f"(?:{pattern})").alias("between"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"))
+    one = F.sequence(F.lit(0), F.least(F.size("hits"), F.lit(min(limit, PER_FILE))) - 1)
+    ahead = lambda i: F.concat(F.array_join(F.transform(F.slice(F.arrays_zip("between", "hits"), F.lit(1), i), lambda x: F.concat(x["between"], x["hits"])), ""), F.get("between", i))
+    found = whole.select("file", F.posexplode(F.transform(one, lambda i: F.struct(F.split(ahead(i), "\n").alias("before"), F.get("hits", i).alias("text")))).alias("place", "m"))
+    return found.orderBy("file", "place").limit(limit).select("file", F.size("m.before").alias("line"), F.length(F.element_at("m.before", -1)).alias("col"), "m.text")
 
 
 def grep_file(lines: DataFrame, files: DataFrame, path: str, pattern: str, context: int = 0) -> DataFrame:

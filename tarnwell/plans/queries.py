@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tarnwell.operators import audit, deps, graph, history, resolve, symbols, te
 from tarnwell.plans import sqldoor
 from tarnwell.plans.derive import derive, sql
 from tarnwell.sources import scan
-from tarnwell.sources.store import written
+from tarnwell.sources.store import shared_dir
 from tarnwell.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,9 +474,9 @@ def latest_version(spark, sf_dir):
 def stream_latest(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*").select("user_id", "ts", "event_id", "event_type")
-    run = changes.stream_latest(spark, source, "user_id", ("ts", "event_id"), "tw_stream_latest")
-    run.awaitTermination()
-    return written(spark.table("tw_stream_latest")).drop("ts")
+    path = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
+    run = changes.stream_latest(spark, source, "user_id", ("ts", "event_id"), path)
+    return changes.newest_version(run, spark, path).drop("ts")
 
 
 @query("SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")

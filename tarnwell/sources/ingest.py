@@ -14,13 +14,36 @@ from tarnwell.sources.scan import detect_language, scan_tree
 from tarnwell.sources.store import written
 
 
-def file_table(sources: DataFrame) -> DataFrame:
-    """sources(path, content, ...) -> id, path, lang, mtime, hash, content: ids are hashes of paths, so they don't shift when
-    other files come and go."""
+#: Ids that a file can have.
+ROOM = (1 << 63) // PER_FILE
+
+
+def with_ids(paths: DataFrame, taken: DataFrame | None = None, room: int = ROOM) -> DataFrame:
+    """paths(path, ...) with id: a hash of the path, so ids don't shift when other files come and go. A path whose hash
+    another path has, or taken(id, path) of earlier ones, is hashed anew until no two paths share an id."""
+    ident = lambda salt: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(room))
+    named = written(paths.select("path").distinct().withColumn("id", ident(0)))
+    held = taken.select("id", "path", F.lit(0).alias("late")) if taken is not None else None
+    if held is not None:
+        named = written(named.join(held.select("path", F.col("id").alias("old")), "path", "left").select("path", F.coalesce("old", "id").alias("id")))
+    salt = 0
+    while True:
+        every = named.withColumn("late", F.lit(1))
+        if held is not None:
+            every = every.join(held.select("path"), "path", "left_anti").select("id", "path", "late").unionByName(held)
+        first = every.groupBy("id").agg(F.min(F.struct("late", "path")).alias("one"), F.count("*").alias("n")).filter("n > 1").select("id", "one.path")
+        lost = written(named.join(first.withColumnRenamed("path", "first"), "id").filter("path <> first").select("path"))
+        if lost.isEmpty():
+            return paths.join(named, "path")
+        salt += 1
+        named = written(named.join(lost.withColumn("again", F.lit(True)), "path", "left").select("path", F.when(F.col("again"), ident(salt)).otherwise(F.col("id")).alias("id")))
+
+
+def file_table(sources: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """sources(path, content, ...) -> id, path, lang, mtime, hash, content, with ids beside those in taken(id, path)."""
     have = set(sources.columns)
-    ident = F.pmod(F.xxhash64("path"), F.lit((1 << 63) // PER_FILE))
-    return sources.select(
-        ident.alias("id"), "path", (F.col("lang") if "lang" in have else detect_language(F.col("path"))).alias("lang"), (F.col("mtime") if "mtime" in have else F.lit(0.0)).alias("mtime"),
+    return with_ids(sources, taken).select(
+        "id", "path", (F.col("lang") if "lang" in have else detect_language(F.col("path"))).alias("lang"), (F.col("mtime") if "mtime" in have else F.lit(0.0)).alias("mtime"),
         F.md5(F.col("content").cast("binary")).alias("hash"), "content",
     )
 
@@ -95,9 +118,18 @@ def cascade(index: CodeIndex, gone: DataFrame) -> CodeIndex:
     return CodeIndex(**{n: tables[n].select(*index.tables()[n].columns) for n in index.tables()})
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of new instead of rows of old with their key; of new rows with one key the last stays."""
-    return old.join(new.select(*key), key, "left_anti").unionByName(new.dropDuplicates(key))
+def last_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of rows with one key that of the greatest order; rows that tie in it go by their other columns."""
+    rest = [c for c in rows.columns if c not in order]
+    last = F.max(F.struct(*order, *rest)).alias("r")
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(last).select("r.*").select(*rows.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of new instead of rows of old with their key; of new rows with one key the last by `order` stays (columns that
+    old may lack), or without an order the greatest."""
+    last = last_by(new, key, order or [c for c in new.columns if c not in key])
+    return old.join(new.select(*key), key, "left_anti").unionByName(last.select(*old.columns))
 
 
 class Store:
@@ -120,18 +152,21 @@ class Store:
         done = [int(n[1:]) for n in found if n[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/facts/_SUCCESS"))]
         return max(done, default=0)
 
-    def apply(self, upserts: DataFrame | None, deletes: DataFrame | None = None) -> int:
-        """upserts(path, content) and deletes(path) on the current version; files of the same hash are not parsed again.
-        Returns the new version."""
+    def apply(self, upserts: DataFrame | None, deletes: DataFrame | None = None, order: list[str] | None = None) -> int:
+        """upserts(path, content) and deletes(path) on the current version; files of the same hash are not parsed again. Of
+        several contents of a path the last by `order` holds (columns of upserts), without one the greatest. Returns the
+        new version. A version counts once its facts are complete, and what a build that was cut off has left is written
+        over; the version before the last is dropped."""
         now = self.version()
-        files = file_table(upserts.dropDuplicates(["path"])) if upserts is not None else None
         if now:
             old, facts = self._read("files", now), self._read("facts", now)
         else:
             old = self.spark.createDataFrame([], "id long, path string, lang string, mtime double, hash string, content string")
             facts = self.spark.createDataFrame([], extract.FACT)
         gone = deletes.select("path") if deletes is not None else self.spark.createDataFrame([], "path string")
-        if files is not None:
+        files = None
+        if upserts is not None:
+            files = file_table(last_by(upserts, ["path"], order or ["content"]), old)
             files = files.join(gone, "path", "left_anti").select(*old.columns)
             fresh = written(files.join(old.select("path", "hash"), ["path", "hash"], "left_anti").select(*old.columns))
             gone = gone.unionByName(fresh.select("path")).distinct()
@@ -140,8 +175,10 @@ class Store:
         kept = old.join(gone, "path", "left_anti")
         lost = old.join(gone, "path", "left_semi").select(F.col("id").alias("file_id"))
         out = f"{self.path}/v{now + 1}"
-        kept.unionByName(fresh).write.parquet(f"{out}/files")
-        facts.join(lost, "file_id", "left_anti").unionByName(extract.extract(fresh.filter("lang is not null"))).write.parquet(f"{out}/facts")
+        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{out}/files")
+        facts.join(lost, "file_id", "left_anti").unionByName(extract.extract(fresh.filter("lang is not null"))).write.mode("overwrite").parquet(f"{out}/facts")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{now - 1}")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return now + 1
 
     def index(self, with_closure: bool = True) -> CodeIndex:

@@ -6,17 +6,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table below spark.checkpoint.dir and reads it back, so a loop's plan stays short and lost executors cost
-    nothing. Where no folder is named, as in tests, one is chosen and named."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session whose tasks all run in the driver's own process may leave
+    it unset, as in tests, and gets a temporary folder; elsewhere executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a table below spark.checkpoint.dir and reads it back, so a loop's plan stays short and lost executors cost
+    nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -47,11 +47,22 @@ def maintain(spark: SparkSession, source: str, store: str, checkpoint: str, afte
     return spark.readStream.schema(CHANGE).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_latest(spark: SparkSession, source: DataFrame, key: str, order: tuple[str, ...], view: str):
-    """A running table `view` of the newest row of each key: state is one row a key."""
-    row = F.struct(*source.columns)
-    now = source.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
-    return now.writeStream.outputMode("complete").format("memory").queryName(view).trigger(availableNow=True).start()
+def stream_latest(spark: SparkSession, source: DataFrame, key: str, order: tuple[str, ...], path: str):
+    """A table of the newest row of each key, kept by batches: batch n reads path/v<n-1> and writes path/v<n>, so one that
+    is run again gives the same, and nothing is held by the driver."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        if n:
+            df = df.unionByName(spark.read.schema(source.schema).parquet(f"{path}/v{n - 1}"))
+        latest(df, key, order).write.mode("overwrite").parquet(f"{path}/v{n}")
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def newest_version(run, spark: SparkSession, path: str) -> DataFrame:
+    """The table that stream_latest() has written last, once its run has ended."""
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/v{run.lastProgress['batchId']}")
 
 
 def tail(rows: DataFrame, order: str = "ts", n: int = TAIL) -> DataFrame:

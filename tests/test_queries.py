@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from tarnwell.plans import queries
+from tarnwell.plans import queries, rendered  # noqa: F401
 
-TABLES = "events documents embeddings pages benchmark labels conversations".split()
+TABLES = "part supplier events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(v):
