@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,11 +37,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where none is named, as in tests, one is chosen and named."""
+    """The shared folder named in spark.checkpoint.dir. Only a session whose tasks all run in the driver's own process may
+    leave it unset, as in tests, and gets a temporary folder; elsewhere executors would not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
@@ -54,11 +58,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def _files(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str, name: str | None = None) -> list[str]:
+    """Names in a folder of whatever store it is in (all, or just one); none if there is no such folder."""
+    at, fs = _files(spark, path)
+    found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return [f for f in found if name in (None, f)]
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at, fs = _files(spark, path)
+        fs.delete(at, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
     """Deletes materialized tables that no plan yet to run reads."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if df is not None:
+            delete(df.sparkSession, df._scratch)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of what ended plans have left on the executors' disks: Spark deletes a shuffle's files once the driver has
+    collected the objects that stand for it, which a long job on a quiet driver may put off for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Rows of a lookup table (keys, terms: some 100 bytes each) that small() marks for broadcast at most.

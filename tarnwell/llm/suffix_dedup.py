@@ -1,25 +1,78 @@
-"""Removal of long repeated byte strings with a logarithmic family of suffix arrays."""
+"""Removal of long repeated strings with a logarithmic family of sampled suffix arrays."""
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import materialize, table
-from tarnwell.llm.hashing import mix
+from tarnwell.llm.common import children, delete, discard, materialize, release, scratch_dir, small, table
+from tarnwell.llm.hashing import mix, word_hashes
 
-#: Bytes of a string that counts as repeated, and of the string by which places are brought together.
-LENGTH, GRAM = 400, 64
-#: Bytes handled at once; longer texts are cut into overlapping parts.
+#: Bytes of a string that counts as repeated, and words of one that is reported besides (a passage of over 50 words).
+LENGTH, WORDS = 400, 51
+#: Batches that remove_repeats() deals a table into.
+BATCHES = 4
+#: Symbols handled at once; longer texts are cut into overlapping parts.
 CHUNK = 1 << 20
-#: Different surroundings of one place string beyond which windows are counted one by one, over all tasks.
-HOT = 4096
 _STEP = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(3).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What a text is a string of, how many symbols of it count as a long match, by how many of them suffixes are sampled,
+    and how many neighbouring windows are compared at once where surroundings differ."""
+
+    unit: str
+    length: int
+    gram: int
+    block: int
+
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.unit == "bytes" else np.uint64
+
+    def symbols(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        if self.unit == "bytes":
+            yield from (np.frombuffer((text or "").encode(), np.uint8) for text in texts)
+            return
+        lo = size = 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= CHUNK or k == len(texts) - 1:
+                yield from word_symbols([t or "" for t in texts[lo : k + 1]])
+                lo, size = k + 1, 0
+
+    def values(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.unit == "bytes":
+            return _BYTE[0][symbols], _BYTE[1][symbols]
+        return tuple(mix(symbols + np.uint64(k)) | np.uint64(1) for k in _STEP)
+
+
+def word_symbols(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of each text's words (runs of anything but ASCII white space, A-Z lower-cased). A text of over CHUNK characters
+    is cut at white space, so that memory beside the result follows CHUNK."""
+    if len(texts) > 1 and max(map(len, texts)) > CHUNK:
+        return [x for t in texts for x in word_symbols([t])]
+    if len(texts) > 1 or len(texts[0]) <= CHUNK:
+        h, of = word_hashes(texts)
+        return np.split(h, np.searchsorted(of, np.arange(1, len(texts))))
+    parts, at = [], 0
+    while at < len(texts[0]):
+        gap = _SPACE.search(texts[0], at + CHUNK)
+        stop = gap.start() if gap else len(texts[0])
+        parts.append(word_hashes([texts[0][at:stop]])[0])
+        at = stop
+    return [np.concatenate(parts)]
 
 
 def _powers(p: int, n: int) -> np.ndarray:
@@ -32,19 +85,20 @@ def _powers(p: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Two polynomial hashes modulo 2^64 of any stretch of a byte array, mixed into one."""
+    """Two polynomial hashes modulo 2^64 of any stretch of an array of symbols, mixed into one."""
 
-    def __init__(self, room: int):
-        self.up = [_powers(p, room) for p in _STEP]
-        self.down = [_powers(pow(p, -1, 1 << 64), room) for p in _STEP]
+    def __init__(self, measure: Measure):
+        self.measure, self.room = measure, 0
 
-    def load(self, data: np.ndarray) -> Rolling:
-        if len(data) > len(self.up[0]):
-            self.__init__(len(data))
+    def load(self, symbols: np.ndarray) -> Rolling:
+        if len(symbols) > self.room:
+            self.room = max(len(symbols), 2 * self.room)
+            self.up = [_powers(p, self.room) for p in _STEP]
+            self.down = [_powers(pow(p, -1, 1 << 64), self.room) for p in _STEP]
         self.sums = []
-        for k in (0, 1):
-            s = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE[k][data] * self.up[k][: len(data)], out=s[1:])
+        for values, up in zip(self.measure.values(symbols), self.up):
+            s = np.zeros(len(symbols) + 1, np.uint64)
+            np.cumsum(values * up[: len(symbols)], out=s[1:])
             self.sums.append(s)
         return self
 
@@ -62,235 +116,353 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(high[: n - w + 1], low[w - 1 : n])
 
 
-def stretches(roll: Rolling, data: np.ndarray, stops: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Groups the windows of `length` bytes of joined texts (ending at stops) by their sampled suffix.
+def stretches(roll: Rolling, symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Groups the windows of joined texts (ending at stops) by their sampled suffix.
 
-    A window's sampled suffix starts at the smallest hash of `gram` bytes in it (the first, if there are several): equal
+    A window's sampled suffix starts at the smallest hash of `gram` symbols in it (the first, if there are several): equal
     windows have it at the same place. Returns for each run of windows with one sampled suffix: index of the text, first and
-    last window start, the hash at the suffix, and a hash of all bytes of the run's windows.
+    last window start, the suffix's start, the hash of its first symbols, and a hash of all symbols of the run's windows.
     """
-    if len(data) < length:
+    m = roll.measure
+    if len(symbols) < m.length:
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    h = roll.load(data)
-    at = np.arange(len(data) - gram + 1)
-    g = h(at, at + gram)
-    low = _sliding_min((g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    h = roll.load(symbols)
+    at = np.arange(len(symbols) - m.gram + 1)
+    g = h(at, at + m.gram)
+    low = _sliding_min((g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), m.length - m.gram + 1)
     a = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     s = np.arange(len(a))
     of = np.searchsorted(stops, s, side="right")
-    inside = s + length <= stops[of]
+    inside = s + m.length <= stops[of]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | ~inside[:-1] | (of[1:] != of[:-1])
     first = np.flatnonzero(inside & new)
     last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
-    whole = h(first, last + length) + mix((a[first] - first).astype(np.uint64) * np.uint64(_STEP[0]) + ((last - first).astype(np.uint64) << np.uint64(32)))
-    return of[first], first, last, g[a[first]], mix(whole)
+    whole = h(first, last + m.length) + mix((a[first] - first).astype(np.uint64) * np.uint64(_STEP[0]) + ((last - first).astype(np.uint64) << np.uint64(32)))
+    return of[first], first, last, a[first], g[a[first]], mix(whole)
 
 
-def _parts(texts: list[str | None], length: int):
-    """Joined texts of about CHUNK bytes: (data, stops, [(row, offset of the part)])."""
+def _parts(symbols: Iterator[np.ndarray], length: int):
+    """Joined texts of about CHUNK symbols: (symbols, stops, [(row, offset of the part)])."""
     buffer, owner, size = [], [], 0
-    for row, text in enumerate(texts):
-        raw = (text or "").encode()
-        for base in range(0, max(1, len(raw) - length + 1), CHUNK):
-            part = raw[base : base + CHUNK + length - 1]
+    for row, text in enumerate(symbols):
+        for base in range(0, max(1, len(text) - length + 1), CHUNK):
+            part = text[base : base + CHUNK + length - 1]
             buffer.append(part), owner.append((row, base))
             size += len(part)
             if size >= CHUNK:
-                yield np.frombuffer(b"".join(buffer), np.uint8), np.cumsum([len(b) for b in buffer]), owner
+                yield np.concatenate(buffer), np.cumsum([len(b) for b in buffer]), owner
                 buffer, owner, size = [], [], 0
     if buffer:
-        yield np.frombuffer(b"".join(buffer), np.uint8), np.cumsum([len(b) for b in buffer]), owner
+        yield np.concatenate(buffer), np.cumsum([len(b) for b in buffer]), owner
 
 
-RUN = "k1 long, k2 int, first long, last long, gram long, whole long"
+#: place packs unit (1 bit), lead and span (15 bits each) and first: the run's windows start at first..first + span, and its
+#: suffix at first + lead. (gram, whole) are 128 bits that stand for the content of all windows of a run.
+RUN = "k1 long, k2 int, place long, gram long, whole long"
+unit_of, lead_of, span_of, first_of = (lambda p: p % 2), (lambda p: p // 2 % 32768), (lambda p: p // 65536 % 32768), (lambda p: p // (1 << 31))
 
 
-def _runs(length: int, gram: int):
+def _unpacked(place: Column) -> dict[str, Column]:
+    part = lambda shift, bits: F.shiftright(place, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    return {"unit": part(0, 1), "lead": part(1, 15), "span": part(16, 15), "first": F.shiftright(place, 31)}
+
+
+def _runs(measures: tuple[Measure, ...]):
+    """The sampled suffixes of texts, as rows of RUN."""
+
     def run(batches):
-        roll = Rolling(CHUNK + 2 * length)
+        rolls = [Rolling(m) for m in measures]
         for batch in batches:
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for data, stops, owner in _parts(batch.column("text").to_pylist(), length):
-                of, first, last, g, whole = stretches(roll, data, stops, length, gram)
-                row, base = np.array(owner, np.int64).reshape(-1, 2).T
-                shift = base[of] - np.concatenate(([0], stops[:-1]))[of]
-                yield pa.RecordBatch.from_pydict({"k1": k1[row[of]], "k2": k2[row[of]], "first": first + shift, "last": last + shift, "gram": g.view(np.int64), "whole": whole.view(np.int64)})
+            k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("text").to_pylist()
+            for unit, roll in enumerate(rolls):
+                for symbols, stops, owner in _parts(roll.measure.symbols(texts), roll.measure.length):
+                    of, first, last, a, g, whole = stretches(roll, symbols, stops)
+                    row, base = np.array(owner, np.int64).reshape(-1, 2).T
+                    moved = first + (base - np.concatenate(([0], stops[:-1])))[of]
+                    place = (moved << 31) | ((last - first) << 16) | ((a - first) << 1) | unit
+                    yield pa.RecordBatch.from_pydict({"k1": k1[row[of]], "k2": k2[row[of]], "place": place, "gram": g.view(np.int64), "whole": whole.view(np.int64)})
 
     return run
 
 
-def _cut(length: int):
-    """The bytes of the runs that are to be compared window by window."""
+ID = ["gram", "whole"]
+
+
+class Family:
+    """A family of suffix arrays in levels, kept as tables in a folder that all executors reach.
+
+    add() takes the sampled suffixes of a batch of texts, one entry for each content with the number of its places, and
+    writes them sorted: the batch's array. A merge-scan against the levels (joins of sorted tables in which a key stands
+    once on either side, so no group is gathered) finds long matches: contents that stand in both, and suffixes that begin
+    alike with other surroundings. Those are marked. Copies within a batch are marked as it is built. Before a batch is
+    added, levels at the end that hold equally many batches are merged into one: there are about log2(batches) levels,
+    and an entry is written again as often. Places are not moved along: they stay in the batches' own tables.
+
+    A family can be opened again by its path; a batch counts once its marks are written, and a level that a merged one
+    covers doesn't count, so a build that was cut off anywhere goes on with the same batch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        done = {n for n in children(spark, path) if children(spark, f"{path}/{n}", "_SUCCESS")}
+        spans = [tuple(map(int, n.split("-")[1:])) for n in done if n.startswith("level-")]
+        spans = sorted((s for s in spans if f"marks-{s[1]}" in done), key=lambda s: (s[0], -s[1]))
+        self.levels: list[tuple[int, int]] = []  # first and last batch of each
+        for lo, hi in spans:
+            if not self.levels or lo > self.levels[-1][1]:
+                self.levels.append((lo, hi))
+
+    def _file(self, level: tuple[int, int]) -> str:
+        return f"{self.path}/level-{level[0]}-{level[1]}"
+
+    def _read(self, *levels: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema("gram long, whole long, n long").parquet(*map(self._file, levels))
+
+    def _write(self, entries: DataFrame, level: tuple[int, int]) -> DataFrame:
+        entries.sortWithinPartitions(*ID).write.mode("overwrite").parquet(self._file(level))
+        return self._read(level)
+
+    def entries(self) -> DataFrame:
+        """gram, whole, n (number of places): each content of each level."""
+        return self._read(*self.levels)
+
+    def marks(self) -> DataFrame:
+        """gram, whole: contents that stand in several places; with whole null, suffixes with several surroundings."""
+        return self.spark.read.schema("gram long, whole long").parquet(*[f"{self.path}/{n}" for n in children(self.spark, self.path) if n.startswith("marks-")])
+
+    def _merge(self) -> None:
+        equal, size = [], 1  # levels at the end, each of which holds as many batches as all after it
+        while self.levels and self.levels[-1][1] - self.levels[-1][0] + 1 == size:
+            equal.append(self.levels.pop())
+            size = equal[0][1] - equal[-1][0] + 1
+        if len(equal) > 1:
+            merged = (equal[-1][0], equal[0][1])
+            self._write(self._read(*equal).groupBy(*ID).agg(F.sum("n").alias("n")), merged)
+            delete(self.spark, *map(self._file, equal))
+            equal = [merged]
+        self.levels += equal
+
+    def add(self, runs: DataFrame) -> None:
+        self._merge()
+        batch = self.levels[-1][1] + 1 if self.levels else 0
+        new = self._write(runs.groupBy(*ID).agg(F.count("*").alias("n")), (batch, batch))
+        ends = lambda df, lo, hi: df.groupBy("gram").agg(F.min("whole").alias(lo), F.max("whole").alias(hi))
+        twice, around = new.filter("n > 1").select(*ID), ends(new, "lo", "hi")
+        if self.levels:
+            old = self.entries().select(*ID)
+            twice = twice.unionByName(new.select(*ID).join(old.hint("merge"), ID))
+            around = around.join(ends(old, "old_lo", "old_hi").hint("merge"), "gram", "left")
+            around = around.select("gram", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
+        near = around.filter("lo <> hi").select("gram", F.lit(None).cast("long").alias("whole"))
+        twice.unionByName(near).write.mode("overwrite").parquet(f"{self.path}/marks-{batch}")
+        self.levels.append((batch, batch))
+        release(self.spark)
+
+
+def surroundings(runs: DataFrame, family: Family) -> DataFrame:
+    """One place of each content of a suffix that has several: gram, whole, k1, k2, place."""
+    several = small(family.marks().filter("whole is null").select("gram").distinct())
+    once = runs.join(several, "gram", "left_semi").groupBy(*ID).agg(F.min(F.struct("k1", "k2", "place")).alias("p"))
+    return once.select(*ID, "p.*")
+
+
+CUT = "gram long, whole long, unit int, lead int, data binary"
+
+
+def _cut(measures: tuple[Measure, ...]):
+    """The symbols of the runs that are to be compared window by window."""
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"gram": [], "whole": [], "twice": [], "hot": [], "data": []}
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                raw = (text or "").encode()
+                out: dict[str, list] = {c: [] for c in ("gram", "whole", "unit", "lead", "data")}
+                whole = {u: next(iter(measures[u].symbols([text]))) for u in {unit_of(r["place"]) for r in runs}}
                 for r in runs:
-                    for c in ("gram", "whole", "twice", "hot"):
-                        out[c].append(r[c])
-                    out["data"].append(raw[r["first"] : r["last"] + length])
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("twice", pa.bool_()), ("hot", pa.bool_()), ("data", pa.binary())]))
+                    p = r["place"]
+                    part = whole[unit_of(p)][first_of(p) : first_of(p) + span_of(p) + measures[unit_of(p)].length]
+                    for c, v in (("gram", r["gram"]), ("whole", r["whole"]), ("unit", unit_of(p)), ("lead", lead_of(p)), ("data", part.tobytes())):
+                        out[c].append(v)
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("unit", pa.int32()), ("lead", pa.int32()), ("data", pa.binary())]))
 
     return run
 
 
-def _windows(roll: Rolling, blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, index of the blob) of all windows."""
-    sizes = np.array([len(b) for b in blobs])
-    count = sizes - length + 1
-    of = np.repeat(np.arange(len(blobs)), count)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    at = inner + np.repeat(np.cumsum(sizes) - sizes, count)
-    return roll.load(np.frombuffer(b"".join(blobs), np.uint8))(at, at + length), of
+def _windows(measures: tuple[Measure, ...], batches):
+    """For slices of CUT rows of one unit: (batch, rolling hash, place of each row's symbols, windows of each row, lead)."""
+    rolls = [Rolling(m) for m in measures]
+    for batch in batches:
+        unit = batch.column("unit").to_numpy()
+        for u, roll in enumerate(rolls):
+            rows = np.flatnonzero(unit == u)
+            for k in range(0, len(rows), 1000):
+                part = batch.take(pa.array(rows[k : k + 1000]))
+                data = [np.frombuffer(x, roll.measure.kind) for x in part.column("data").to_pylist()]
+                size = np.array([len(x) for x in data])
+                yield part, roll.load(np.concatenate(data)), np.cumsum(size) - size, size - roll.measure.length + 1, part.column("lead").to_numpy().astype(np.int64)
 
 
-class Family:
-    """Suffix arrays in levels. A batch of suffixes comes as one sorted array (by a fingerprint of their first bytes, as only
-    equality of those counts), is scanned against each level, and then joins the levels: two of one size class are merged
-    into the next, so there are at most log2(batches) of them and a suffix is moved as often."""
-
-    def __init__(self):
-        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []  # size class, sorted fingerprints, suffix ids
-        self.marked: list[np.ndarray] = []  # ids of suffixes that were found elsewhere
-
-    def add(self, prints: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(prints, kind="stable")
-        prints, ids = prints[order], ids[order]
-        same = prints[1:] == prints[:-1]
-        self.marked += [ids[1:][same], ids[:-1][same]]
-        for _, old, old_ids in self.levels:
-            lo, hi = np.searchsorted(old, prints, "left"), np.searchsorted(old, prints, "right")
-            self.marked.append(ids[hi > lo])
-            lo, hi = np.searchsorted(prints, old, "left"), np.searchsorted(prints, old, "right")
-            self.marked.append(old_ids[hi > lo])
-        level = (0, prints, ids)
-        while self.levels and self.levels[-1][0] == level[0]:
-            size, old, old_ids = self.levels.pop()
-            both = np.concatenate([old, level[1]])
-            order = np.argsort(both, kind="stable")
-            level = (size + 1, both[order], np.concatenate([old_ids, level[2]])[order])
-        self.levels.append(level)
-
-
-def _compare(length: int):
-    """For each run (gram, whole) of a partition: stretches lo..hi of windows that another run holds as well."""
+def _blocks(measures: tuple[Measure, ...]):
+    """Blocks of neighbouring windows: windows whose suffix stands block * no .. block * (no + 1) - 1 after their start. `core`
+    stands for the symbols that all windows of such a block hold, `hull` for those of the windows that are there."""
 
     def run(batches):
-        family, roll, seen = Family(), Rolling(CHUNK), {}
-        names: list[tuple[int, int]] = []
-        starts = [0]
-        full: list[bool] = []
-        for batch in batches:
-            blobs = []
-            for g, w, twice, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "whole", "twice", "data"))):
-                if (g, w) not in seen:
-                    seen[g, w] = True
-                    names.append((g, w)), full.append(twice), blobs.append(data)
-                    starts.append(starts[-1] + len(data) - length + 1)
-            base, lo, size = starts[-1 - len(blobs)], 0, 0
-            for k, b in enumerate(blobs):
-                size += len(b)
-                if size >= CHUNK or k == len(blobs) - 1:
-                    prints, _ = _windows(roll, blobs[lo : k + 1], length)
-                    family.add(prints, np.arange(base, base + len(prints)))
-                    base, lo, size = base + len(prints), k + 1, 0
-        found = np.zeros(starts[-1], bool)
-        for ids in family.marked:
-            found[ids] = True
-        out: dict[str, list] = {"gram": [], "whole": [], "spans": []}
-        for k, (g, w) in enumerate(names):
-            if not full[k]:
-                edge = np.flatnonzero(np.diff(found[starts[k] : starts[k + 1]].astype(np.int8), prepend=0, append=0))
-                if len(edge):
-                    out["gram"].append(g), out["whole"].append(w)
-                    out["spans"].append([{"lo": int(a), "hi": int(b) - 1} for a, b in edge.reshape(-1, 2)])
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]))
+        for part, roll, base, count, lead in _windows(measures, batches):
+            m = roll.measure
+            low, high = (lead - count + 1) // m.block, lead // m.block
+            n = high - low + 1
+            of = np.repeat(np.arange(len(n)), n)
+            no = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[of]
+            at = base[of] + lead[of]  # where the suffix starts
+            near, far = np.maximum(no * m.block, (lead - count + 1)[of]), np.minimum((no + 1) * m.block - 1, lead[of])
+            mark = mix(no.astype(np.uint64) + np.uint64(_STEP[1]))
+            core = roll(at - no * m.block, at + m.length - (no + 1) * m.block + 1)
+            hull = roll(at - far, at - near + m.length) + mix((near * 65536 + far).astype(np.uint64))
+            taken = pa.array(of)
+            yield pa.RecordBatch.from_pydict({"gram": part.column("gram").take(taken), "whole": part.column("whole").take(taken), "lo": (lead[of] - far).astype(np.int32), "hi": (lead[of] - near).astype(np.int32), "core": mix(core + mark).view(np.int64), "hull": mix(hull).view(np.int64)})
 
     return run
 
 
-def _prints(length: int):
+def _prints(measures: tuple[Measure, ...]):
+    """The windows lo..hi of each row's spans, with a hash of their symbols."""
+
     def run(batches):
-        roll = Rolling(CHUNK)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                prints, of = _windows(roll, part.column("data").to_pylist(), length)
-                first = np.searchsorted(of, np.arange(part.num_rows))
-                yield pa.RecordBatch.from_pydict({"gram": part.column("gram").take(pa.array(of)), "whole": part.column("whole").take(pa.array(of)), "twice": part.column("twice").take(pa.array(of)), "at": (np.arange(len(of)) - first[of]).astype(np.int32), "print": prints.view(np.int64)})
+        for part, roll, base, _, _ in _windows(measures, batches):
+            spans = part.column("spans").to_pylist()
+            of = np.repeat(np.arange(len(spans)), [sum(s["hi"] - s["lo"] + 1 for s in x) for x in spans])
+            at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for x in spans for s in x])
+            start = base[of] + at
+            taken = pa.array(of)
+            yield pa.RecordBatch.from_pydict({"gram": part.column("gram").take(taken), "whole": part.column("whole").take(taken), "at": at.astype(np.int32), "print": roll(start, start + roll.measure.length).view(np.int64)})
 
     return run
 
 
+def _of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of keys(k1, k2): where those are few, other texts are set aside before the join that deals texts out."""
+    return texts.join(small(keys.select("k1", "k2")), ["k1", "k2"], "left_semi")
+
+
+def _shared_windows(texts: DataFrame, runs: DataFrame, family: Family, measures: tuple[Measure, ...]) -> DataFrame:
+    """gram, whole, lo, hi: windows of contents with differing surroundings that stand elsewhere too.
+
+    One copy of each content is cut out of its text. Blocks of windows are compared first: a block that stands elsewhere
+    as a whole is settled, one that shares its core with other blocks is compared window by window, and others are alone.
+    All counts are of hashes, summed before the shuffle, so that a place with any number of surroundings is spread out.
+    """
+    lists = materialize(surroundings(runs, family).groupBy("k1", "k2").agg(F.collect_list(F.struct(*ID, "place")).alias("runs")))
+    # repeated rows are all cut: what they count for too much stands in several places in truth
+    cut = materialize(_of(texts, lists).join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "runs").mapInArrow(_cut(measures), CUT))
+    blocks = cut.mapInArrow(_blocks(measures), "gram long, whole long, lo int, hi int, core long, hull long")
+    hulls = materialize(blocks.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*ID)).alias("one")))
+    apart = hulls.groupBy("core").agg(F.min("hull").alias("lo"), F.max("hull").alias("hi")).filter("lo <> hi").select("core", F.lit(True).alias("apart"))
+    state = hulls.join(apart, "core", "left").filter("n > 1 or apart").withColumnRenamed("core", "c").withColumnRenamed("hull", "h")
+    told = materialize(blocks.join(state, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h"))).select(*ID, "lo", "hi", (F.col("n") > 1).alias("twice"), (F.col("apart") & ((F.col("n") == 1) | (F.struct(*ID) == F.col("one")))).alias("apart")))
+    spans = told.filter("apart").groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    prints = materialize(cut.join(spans, ID).mapInArrow(_prints(measures), "gram long, whole long, at int, print long"))
+    often = prints.groupBy("gram", "print").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "print")
+    single = prints.join(often, ["gram", "print"]).select(*ID, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    out = materialize(told.filter("twice").select(*ID, "lo", "hi").unionByName(single))
+    discard(lists, cut, hulls, told, prints)
+    return out
+
+
 def _strip(batches):
     for batch in batches:
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "repeated_words": [], "kept": []}
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
-            raw, at, removed, spans, kept = (text or "").encode(), 0, 0, 0, []
-            end = -1
-            for c in sorted((c["lo"], c["hi"]) for c in cuts or ()):
-                if c[0] > end:
-                    spans += 1
-                    kept.append(raw[at : c[0]])
-                lo = max(c[0], end)
-                if c[1] > lo:
-                    removed += c[1] - lo
-                    at = end = c[1]
+            raw, at, kept = (text or "").encode(), 0, []
+            spans: tuple[list, list] = ([], [])  # bytes, words: joined where they touch
+            for unit, lo, hi in sorted((c["unit"], c["lo"], c["hi"]) for c in cuts or ()):
+                if spans[unit] and lo <= spans[unit][-1][1]:
+                    spans[unit][-1][1] = max(hi, spans[unit][-1][1])
+                else:
+                    spans[unit].append([lo, hi])
+            for lo, hi in spans[0]:
+                kept.append(raw[at:lo])
+                at = hi
             kept.append(raw[at:])
             rest = b"".join(kept)
-            for name, value in (("n_bytes", len(raw)), ("n_removed", removed), ("n_spans", spans), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept", rest)):
+            for name, value in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(rest)), ("n_spans", len(spans[0])), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("repeated_words", sum(hi - lo for lo, hi in spans[1])), ("kept", rest)):
                 out[name].append(value)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], t) for c, t in (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())))], ["doc_id", *out])
+        kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], ["doc_id", *out])
+
+
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2, text: keys of 96 bits, which only repeated rows share; null texts are empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.lit(1)).alias("k2"), text.alias("text"))
+
+
+def sampled(texts: DataFrame, measures: tuple[Measure, ...]) -> DataFrame:
+    """k1, k2, place, gram, whole: the sampled suffixes of keyed texts."""
+    return texts.select("k1", "k2", "text").mapInArrow(_runs(measures), RUN)
+
+
+#: A content at over this part of all places is looked up by a broadcast (so there are at most as many as 1 / HOT, of 16
+#: bytes), as its places would all meet in one task of a shuffle.
+HOT = 1e-5
+
+
+def cuts(texts: DataFrame, runs: DataFrame, family: Family, measures: tuple[Measure, ...]) -> DataFrame:
+    """k1, k2, cuts (array of unit, lo, hi): what is covered by strings that the family has found elsewhere too. A span of
+    a run is told once, however many rows repeat."""
+    shared = _shared_windows(texts, runs, family, measures)
+    release(texts.sparkSession)
+    least = HOT * len(family.levels) * (family.entries().agg(F.sum("n")).first()[0] or 0)
+    hot = materialize(family.entries().filter((F.col("n") > 1) & (F.col("n") > least)).select(*ID).distinct())
+    twice = family.marks().filter("whole is not null").distinct().join(F.broadcast(hot), ID, "left_anti")
+    none = F.lit(None).cast("int")
+    found = twice.select(*ID, none.alias("lo"), none.alias("hi")).unionByName(shared)
+    found = found.groupBy(*ID).agg(F.max(F.col("lo").isNull()).alias("all"), F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    length = F.element_at(F.array(*[F.lit(m.length) for m in measures]), (F.col("unit") + 1).cast("int"))
+    span = lambda lo, hi: F.struct(F.col("unit").cast("int").alias("unit"), (F.col("first") + lo).alias("lo"), (F.col("first") + hi + length).alias("hi"))
+    placed = lambda df, *more: df.select("k1", "k2", *more, *[c.alias(n) for n, c in _unpacked(F.col("place")).items()])
+    often = placed(runs.join(F.broadcast(hot), ID, "left_semi")).select("k1", "k2", span(F.lit(0), F.col("span")).alias("c"))
+    each = F.when(F.col("all"), F.array(span(F.lit(0), F.col("span")))).otherwise(F.transform("spans", lambda s: span(s["lo"], s["hi"])))
+    rest = placed(runs.join(F.broadcast(hot), ID, "left_anti").join(found, ID), "all", "spans").select("k1", "k2", F.explode(each).alias("c"))
+    out = materialize(often.unionByName(rest).groupBy("k1", "k2").agg(F.collect_set("c").alias("cuts")))
+    discard(shared, hot)
+    return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): texts without the bytes covered by a string of
-    `length` bytes that starts anywhere else too.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = 64, block: int = 16, words: int = WORDS, word_gram: int = 8, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated_words, kept (binary): texts without the bytes covered by a
+    string of `length` bytes that starts anywhere else too. repeated_words counts words inside strings of `words` words
+    that start anywhere else too; nothing is removed for them.
 
-    The suffix arrays are sampled: of all suffixes those at minimizers stand for the windows around them, one in about 170
-    bytes. Runs of windows with one sampled suffix are counted by their whole content first, which settles those that stand
-    alone or are the same everywhere, however many copies there are. Where one sampled suffix has different surroundings,
-    one copy of each goes to the suffix's partition, whose Family compares window by window. Suffixes with over `hot`
-    surroundings are compared by counting fingerprints over all tasks instead. What was found goes back to each run's
-    text by key.
+    Texts are dealt into `batches` by their key and go through a Family of suffix arrays one batch after the other; the
+    result doesn't depend on their number. The arrays are sampled: of all suffixes those at minimizers stand for the
+    windows around them, one in about 170 bytes. A content that stands in several places is repeated as a whole; where one
+    sampled suffix has different surroundings, those are compared by blocks of windows and then by windows. Contents are
+    told by 128 bits of hashes.
 
-    Null texts are empty. Repeated rows are copies of each other, so they lose all covered bytes alike. Texts below `length`
-    bytes are kept whole. Cuts follow bytes, so `kept` may end inside a character. Other columns are not looked at.
+    Null and empty texts lose nothing and have 0 in all counts. Repeated rows are copies of each other, so they lose all
+    covered bytes alike; ties can't arise. Texts below `length` bytes are kept whole; texts of any length are handled in
+    overlapping parts. An empty table gives no rows. Cuts follow bytes, so `kept` may end inside a character. Other columns
+    are not looked at, so their names can't clash.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.lit(1)).alias("k2"), text.alias("text"))
-    runs = materialize(d.select("k1", "k2", "text").filter(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), RUN))
-    one = F.min(F.struct("k1", "k2", "first", "last")).alias("one")
-    counts = runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), one)
-    counts = materialize(counts)
-    around = counts.groupBy("gram").agg(F.count("*").alias("around")).filter("around > 1")
-    known = counts.join(around, "gram", "left").filter("n > 1 or around is not null")
-    known = materialize(known.select("gram", "whole", (F.col("n") > 1).alias("twice"), "around", "one"))
-    part = known.filter("around is not null")
-    lists = part.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("gram", "whole", "twice", (F.col("around") > hot).alias("hot"), F.col("one.first").alias("first"), F.col("one.last").alias("last"))).alias("runs"))
-    cut = d.select("k1", "k2", "text").join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "runs")
-    cut = materialize(cut.mapInArrow(_cut(length), "gram long, whole long, twice boolean, hot boolean, data binary"))
-    spans = cut.filter("not hot").repartition("gram").select("gram", "whole", "twice", "data").mapInArrow(_compare(length), "gram long, whole long, spans array<struct<lo:int,hi:int>>")
-    each = cut.filter("hot").dropDuplicates(["gram", "whole"]).mapInArrow(_prints(length), "gram long, whole long, twice boolean, at int, print long")
-    if not cut.filter("hot").isEmpty():
-        each = materialize(each)
-        often = each.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-        single = each.filter("not twice").join(often, "print").select("gram", "whole", F.struct(F.col("at").alias("lo"), F.col("at").alias("hi")).alias("s"))
-        spans = spans.unionByName(single.groupBy("gram", "whole").agg(F.collect_list("s").alias("spans")))
-    spans = materialize(spans)
-    found = known.filter("twice").select("gram", "whole", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans")).unionByName(spans)
-    back = runs.join(found, ["gram", "whole"])
-    all_ = F.array(F.struct(F.col("first").alias("lo"), (F.col("last") + length).alias("hi")))
-    some = F.transform("spans", lambda x: F.struct((F.col("first") + x["lo"]).alias("lo"), (F.col("first") + x["hi"] + length).alias("hi")))
-    cuts = back.select("k1", "k2", F.when(F.col("spans").isNull(), all_).otherwise(some).alias("c"))
-    cuts = materialize(cuts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("c")).alias("cuts")))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.join(cuts.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "cuts").mapInArrow(_strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    measures = (Measure("bytes", length, gram, block), Measure("words", words, word_gram, max(1, block // 2)))
+    spark = docs.sparkSession
+    texts = keyed_texts(docs, id_col, text_col)
+    dealt = sampled(texts, measures).withColumn("batch", F.pmod("k2", F.lit(batches)))
+    path = f"{scratch_dir(spark)}/family-{uuid.uuid4().hex}"
+    dealt.write.partitionBy("batch").parquet(f"{path}/runs")
+    runs = spark.read.schema(dealt.schema).parquet(f"{path}/runs")
+    family = Family(spark, f"{path}/levels")
+    for k in range(batches):
+        family.add(runs.filter(F.col("batch") == k).drop("batch"))
+    found = cuts(texts, runs.drop("batch"), family, measures)
+    delete(spark, path)
+    release(spark)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    keys = small(found.select("k1", "k2"))
+    cut = texts.join(keys, ["k1", "k2"], "left_semi").join(found.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "text", "cuts")
+    whole = texts.join(keys, ["k1", "k2"], "left_anti").select("doc_id", "text", F.lit(None).cast(cut.schema["cuts"].dataType).alias("cuts"))
+    return cut.unionByName(whole).mapInArrow(_strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated_words long, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
