@@ -94,8 +94,8 @@ def linked(docs):
     return Counter((i, len(s), low.get(find(k)) if s else i) for k, ((i, _, _), s) in enumerate(zip(docs, sets)))
 
 
-@pytest.mark.parametrize(("few", "rounds"), [(16, 4), (2, 1)])
-def test_join(spark, few, rounds):
+@pytest.mark.parametrize(("few", "rounds", "block"), [(16, 4, 256), (2, 1, 3)])
+def test_join(spark, few, rounds, block):
     rng = random.Random(2)
     word = lambda: rng.choice(["a", "B", "c", "d", "é", "ff", "g", "h"]) + rng.choice(["", "1", "2", "x"])
     base = [[word() for _ in range(rng.choice([3, 8, 30, 90]))] for _ in range(14)]
@@ -109,7 +109,7 @@ def test_join(spark, few, rounds):
             w += passage
         docs.append((k, "\t".join(w) if k % 2 else " ".join(w).upper(), "s"))
     docs += ODD + [(900, " a  b ", "s"), (901, "A B", "s"), (902, "b a", "s")]
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(documents(spark, docs), few=few, rounds=rounds).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(documents(spark, docs), few=few, rounds=rounds, block=block).collect())
     assert got == linked(docs)
 
 
@@ -127,8 +127,22 @@ def test_prefixes_share_enough():
         b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, int(rng.integers(0, len(a) // 6 + 1)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            for k in range(jaccard_join.ORDERS):
-                assert len(np.intersect1d(jaccard_join.prefix(a, levels, k), jaccard_join.prefix(b, levels, k))) > min(len(a), len(b)) // jaccard_join.SLACK
+            need = min(len(a), len(b)) // jaccard_join.SLACK
+            assert len(np.intersect1d(jaccard_join.prefix(a, levels), jaccard_join.prefix(b, levels))) > need
+            assert len(jaccard_join.other_prefixes(a)) == jaccard_join.ORDERS - 1
+            for x, y in zip(jaccard_join.other_prefixes(a), jaccard_join.other_prefixes(b)):
+                assert len(np.intersect1d(x, y)) > need
+
+
+def test_pairs_that_another_order_parts_are_not_verified(spark):
+    rng = np.random.default_rng(4)
+    far = [np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64)) for _ in range(2)]
+    far[1] = np.unique(np.concatenate([far[0][:15], far[1][15:]]))
+    near = [far[0], np.concatenate([far[0][:95], far[1][-5:]])]
+    rows = [(k, len(s), [], [h.view(np.int64).tolist() for h in jaccard_join.other_prefixes(s)]) for k, s in enumerate([*far, *near])]
+    sets = spark.createDataFrame(rows, jaccard_join.SETS)
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in jaccard_join._under_all_orders(pairs, sets).collect()] == [(2, 3)]
 
 
 def test_components(spark):
@@ -139,22 +153,38 @@ def test_components(spark):
 
 
 # --- suffix dedup --------------------------------------------------------------------------------------------------------
-def stripped(docs, length):
-    raw = [(t or "").encode() for _, t, _ in docs]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
-    out = Counter()
-    for (i, _, _), b in zip(docs, raw):
+def covered(seqs, length):
+    """For each sequence, 1 for what is covered by `length` symbols that start anywhere else too."""
+    seen = Counter(tuple(b[i : i + length]) for b in seqs for i in range(len(b) - length + 1))
+    out = []
+    for b in seqs:
         cut = bytearray(len(b))
         for p in range(len(b) - length + 1):
-            if seen[b[p : p + length]] > 1:
+            if seen[tuple(b[p : p + length])] > 1:
                 cut[p : p + length] = b"\1" * length
-        kept = bytes(x for x, c in zip(b, cut) if not c)
-        out[i, len(b), sum(cut), len(re.findall(b"\1+", bytes(cut))), hashlib.sha256(kept).hexdigest()] += 1
+        out.append(cut)
+    return out
+
+
+def stripped(docs, length, words):
+    raw = [(t or "").encode() for _, t, _ in docs]
+    out = Counter()
+    for (i, _, _), b, c, w in zip(docs, raw, covered(raw, length), covered([WORD.findall((t or "").translate(LOWER)) for _, t, _ in docs], words)):
+        kept = bytes(x for x, y in zip(b, c) if not y)
+        out[i, len(b), sum(c), len(re.findall(b"\1+", bytes(c))), hashlib.sha256(kept).hexdigest(), sum(w)] += 1
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(spark, hot):
+SHORT = {"length": 40, "gram": 8, "block": 4, "words": 12, "word_gram": 3}
+
+
+def removed(spark, docs, **options):
+    out = suffix_dedup.remove_repeats(documents(spark, docs), **(SHORT | options))
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.repeated_words) for r in out.collect())
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_repeats(spark, batches):
     rng = random.Random(4)
     passages = ["".join(rng.choice("abé \n") for _ in range(n)) for n in (60, 90, 41, 200, 39)]
     docs = []
@@ -162,32 +192,53 @@ def test_repeats(spark, hot):
         t = "".join(rng.choice(["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(70))), rng.choice(passages), rng.choice(passages)[5:]]) for _ in range(rng.randrange(1, 6)))
         docs.append((k, t, "s"))
     docs += [(200, docs[0][1], "s"), (201, "a" * 300, "s"), (202, "ab" * 150, "s"), *ODD[:-1], (4, "long " * 3000, "a")]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(documents(spark, docs), length=40, gram=8, hot=hot).collect())
-    assert got == stripped(docs, 40)
+    assert removed(spark, docs, batches=batches) == stripped(docs, 40, 12)
 
 
 def test_repeats_over_parts_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(4000))
-    docs = [(1, long, "s"), (2, long[700:2600] + "tail" * 9, "s"), (3, "x" + long[1000:1100], "s")]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(documents(spark, docs), length=40, gram=8).collect())
-    assert got == stripped(docs, 40)
+    docs = [(1, long, "s"), (2, long[700:2600] + "tail" * 9, "s"), (3, "x" + long[1000:1100], "s"), (4, "é" * 900, "s")]
+    assert removed(spark, docs) == stripped(docs, 40, 12)
     assert suffix_dedup.remove_repeats(documents(spark, EMPTY)).count() == 0
 
 
-def test_family_levels_are_geometric():
-    family, rng = suffix_dedup.Family(), np.random.default_rng(6)
-    prints, at = [], 0
-    for _ in range(13):
-        p = rng.integers(0, 400, 50).astype(np.uint64)
-        family.add(p, np.arange(at, at + 50))
-        prints.append(p)
-        at += 50
-    every = np.concatenate(prints)
-    counts = Counter(every.tolist())
-    assert set(np.concatenate(family.marked).tolist()) == {i for i, p in enumerate(every.tolist()) if counts[p] > 1}
-    assert [s for s, *_ in family.levels] == [3, 2, 0]
+def test_a_passage_in_many_surroundings(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = noise(55)
+    docs = [(k, noise(rng.randrange(50)) + passage[rng.randrange(6) : rng.randrange(46, 55)] + noise(rng.randrange(50)), "s") for k in range(150)]
+    assert removed(spark, docs) == stripped(docs, 40, 12)
+
+
+def test_family_takes_batches_and_opens_again(spark, tmp_path):
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcd ") for _ in range(70)) for _ in range(12)]
+    docs = [(k, rng.choice(passages) + "".join(rng.choice("abcdefgh ") for _ in range(30)) + rng.choice(passages)[:60], "s") for k in range(60)]
+    measures = (suffix_dedup.Measure("bytes", 40, 8, 4), suffix_dedup.Measure("words", 12, 3, 2))
+    texts = suffix_dedup.keyed_texts(documents(spark, docs))
+    runs = suffix_dedup.sampled(texts, measures)
+    levels = []
+    for k in range(5):
+        family = suffix_dedup.Family(spark, str(tmp_path))  # from what is on disk
+        family.add(runs.filter(f"pmod(k2, 5) = {k}"))
+        levels.append(family.levels)
+    assert levels == [[(0, 0)], [(0, 0), (1, 1)], [(0, 1), (2, 2)], [(0, 1), (2, 2), (3, 3)], [(0, 3), (4, 4)]]
+    entries = family.entries()
+    assert entries.agg({"n": "sum"}).first()[0] == runs.count()
+    # a build that stopped before it deleted what it had merged, and one that stopped before its marks
+    entries.limit(3).write.parquet(str(tmp_path / "level-2-2"))
+    entries.limit(3).write.parquet(str(tmp_path / "level-5-5"))
+    family = suffix_dedup.Family(spark, str(tmp_path))
+    assert family.levels == [(0, 3), (4, 4)]
+    cut = {(r.k1, r.k2): sorted((c.lo, c.hi) for c in r.cuts if c.unit == 0) for r in suffix_dedup.cuts(texts, runs, family, measures).collect()}
+    want = {i: c for (i, _, _), c in zip(docs, covered([t.encode() for _, t, _ in docs], 40))}
+    for r in texts.collect():
+        mark = bytearray(len(want[r.doc_id]))
+        for lo, hi in cut.get((r.k1, r.k2), []):
+            mark[lo:hi] = b"\1" * (hi - lo)
+        assert mark == want[r.doc_id]
 
 
 # --- models --------------------------------------------------------------------------------------------------------------
