@@ -78,7 +78,6 @@ def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     rows. Columns other than id and text are not looked at.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     lab = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).alias("label")).filter("label in (0, 1) and l_id is not null")
     if share is None:
         share = lab.agg(F.avg("label")).first()[0]

@@ -205,7 +205,6 @@ def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text_c
     Null and empty texts have no segment and get the score of that. Without a model all scores are 0. Repeated rows are
     scored each. Labels, language and source are not looked at.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double, n_segments int, segments array<struct<start:int,stop:int,score:double>>"
@@ -232,5 +231,4 @@ def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text_c
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("segments")
