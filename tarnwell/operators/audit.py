@@ -14,7 +14,6 @@ BUILTINS = {
     "go": ("append", "cap", "close", "copy", "delete", "len", "make", "new", "panic", "print", "println", "recover"),
     "rust": ("drop", "print", "println", "vec", "format", "panic", "assert"),
 }
-# End of fixed values.
 
 
 def orphan_counts(index) -> DataFrame:
