@@ -333,3 +333,46 @@ def test_toxicity_is_fitted_on_all_significant_segments(spark, monkeypatch):
     own = {round(e[2], 6): len(e[0]) for _, t, _ in long for e in [toxicity.evidence([scores[w] for w in toxicity.tokens(t)], model["lam"], model["k"])]}
     assert {round(h, 6) for h in shaped[0]} <= set(own)
     assert max(own[round(h, 6)] for h in shaped[0]) > 8
+
+
+def test_weights_by_brute_force(spark):
+    rng = random.Random(11)
+    docs = [(k, " ".join(rng.choice("red Green blue x yy zzz".split()) for _ in range(rng.randrange(30))), "s") for k in range(60)] + [(60, None, "s"), (61, "", "s")]
+    labels = [(k, int(rng.random() < 0.4)) for k in range(0, 50)]
+    got = {r.doc_id: r for r in resampling.resample(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int"), share=0.5).collect()}
+    grams = {i: Counter(resampling.hashed_ngrams([t or ""])[0].tolist()) for i, t, _ in docs}
+    good = {i for i, y in labels if y}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if i in good else {})
+    ratio = lambda b: np.log((target[b] + 1) / (target.total() + resampling.BUCKETS)) - np.log((raw[b] + 1) / (raw.total() + resampling.BUCKETS))
+    for i, g in grams.items():
+        assert got[i].log_weight == pytest.approx(sum(n * ratio(b) for b, n in g.items()), abs=1e-9)
+    best = sorted(got, key=lambda i: -got[i].draw)[: round(0.5 * len(docs))]
+    assert {i for i, r in got.items() if r.kept} == set(best)
+
+
+def test_scores_by_brute_force(spark):
+    rng = random.Random(12)
+    ratios = {"=vile": 9.0, "=nice": 0.3, "4vile": 4.0, "=meh": 1.5}
+    model = {"ratios": spark.sparkContext.broadcast(ratios), "lam": 0.9, "k": 0.2, "beta": np.array([-3.0, 0.8, 0.5])}
+    docs = [(k, " ".join(rng.choice("vile nice meh vilely other, Vile! word".split()) for _ in range(rng.randrange(25))), "s") for k in range(40)] + [(40, None, "s"), (41, "", "s")]
+    got = {r.doc_id: r for r in toxicity.score(documents(spark, docs), model).collect()}
+
+    def value(w):
+        out = 1.0
+        for k in (*[f"{n}{w[:n]}" for n in (4, 5, 6) if len(w) > n], "=" + w):
+            out = ratios.get(k, out)
+        return np.log(out) - toxicity.DRIFT
+
+    for i, t, _ in docs:
+        values = [value(w.strip(toxicity.STRIP)) for w in (t or "").lower().split()]
+        cut = np.log(0.2 * max(1, len(values)))
+        evidence = [0.9 * sum(values[a:b]) - cut for a, b, *_ in toxicity.segments(values)]
+        high = sum(e for e in evidence if e >= -np.log(toxicity.SIGNIFICANT))
+        best = max(evidence, default=-cut)
+        x = -3.0 + 0.8 * np.clip(best, -10, 40) + 0.5 * np.log1p(max(high, 0))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9)
+        assert got[i].predicted == int(got[i].score >= 0.5)
+    assert {r.predicted for r in got.values()} == {0, 1}
