@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
-from math import log, pi
+from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import materialize, table
+from tarnwell.llm.common import table
 
-#: Labelled rows of each class that the classifier is fitted on at most, and entries of its table of ratios at most.
-TRAIN_ROWS, MAX_KEYS = 8_000, 100_000
+#: Labelled rows of each class that the classifier is fitted on at most, and buckets of its table of counts.
+TRAIN_ROWS, BUCKETS = 8_000, 1 << 21
 #: Weight of a prior in tokens, drift that is taken from each token's score, and lengths of the prefixes that are backed off to.
 PRIOR, DRIFT, PREFIXES = 2.0, 0.3, (4, 5, 6)
 #: A segment is significant if fewer than this many would be expected in a clean text of that length.
@@ -30,11 +31,31 @@ def keys(word: str) -> list[str]:
     return [f"{n}{word[:n]}" for n in PREFIXES if len(word) > n] + [f"={word}"]
 
 
+def bucket(key: str) -> int:
+    return crc32(key.encode()) % BUCKETS
+
+
+class Ratios:
+    """Ratio of a key's rates in toxic and clean text, with a prior ratio that weighs PRIOR tokens.
+
+    All keys are counted, in buckets of a fixed number: the table has the same size for any vocabulary, and a key that the
+    fit has not seen leaves its prior as it is (unless it shares a bucket).
+    """
+
+    def __init__(self, toxic: np.ndarray, clean: np.ndarray):
+        """Counts by bucket; those of clean text are scaled to the number of tokens of toxic text."""
+        self.toxic, self.clean = toxic, clean
+
+    def get(self, key: str, prior: float) -> float:
+        b = bucket(key)
+        return (float(self.toxic[b]) + PRIOR * prior) / (float(self.clean[b]) + PRIOR)
+
+
 class Scores(dict):
     """Score of each word: log ratio of its rates in toxic and clean text, each estimate with the one before as its
     Dirichlet prior, less the drift. Words are remembered up to a bound."""
 
-    def __init__(self, ratios: dict[str, float]):
+    def __init__(self, ratios: Ratios):
         self.ratios = ratios
 
     def __missing__(self, word: str) -> float:
@@ -116,16 +137,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches):
-    counts: Counter = Counter()
+    sums = np.zeros((2, BUCKETS + 1), np.int64)  # the last place counts tokens
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            for w in tokens(text):
+            for w, n in Counter(tokens(text)).items():
+                sums[y, BUCKETS] += n
                 for k in keys(w):
-                    counts[k, y] += 1
-    rows = list(counts.items())
-    for a in range(0, len(rows), 50_000):
-        part = rows[a : a + 50_000]
-        yield pa.RecordBatch.from_pydict({"k": [k for (k, _), _ in part], "toxic": [y for (_, y), _ in part], "n": [n for _, n in part]}, pa.schema([("k", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
+                    sums[y, bucket(k)] += n
+    at = np.flatnonzero(sums.any(axis=0))
+    for a in range(0, len(at), 50_000):
+        part = at[a : a + 50_000]
+        yield pa.RecordBatch.from_pydict({"bucket": part.astype(np.int32), "t": sums[1, part], "c": sums[0, part]})
 
 
 def evidence(values: list[float], lam: float, k: float) -> tuple[list, float, float]:
@@ -136,12 +158,14 @@ def evidence(values: list[float], lam: float, k: float) -> tuple[list, float, fl
     return [x for x, _ in high], max((e for _, e in all_), default=-cut), float(sum(e for _, e in high))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, max_keys: int = MAX_KEYS) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> dict | None:
     """The model, from labelled rows that are not held out: up to `train_rows` of each class by hash of the id.
 
     Three quarters of them give the counts of words and prefixes, the rest (not seen by the counts) the extreme-value law of
     clean texts' best segments and the logistic curve from evidence to probability, weighted to the labels' true shares.
-    The driver receives max_keys ratios and some numbers for each row of that quarter. None without rows of both classes.
+    The driver receives BUCKETS counts at most and some numbers for each row of that quarter. Labels other than 0 and 1
+    are left out, a document with several labels is toxic if one of them says so, and repeated documents count each. Null
+    and empty texts have no words; texts of any length are taken whole. None without rows of both classes.
     """
     spark = docs.sparkSession
     lab = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1) and l_id is not null").filter(~held_out(F.col("l_id")))
@@ -153,22 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     picked = picked[0].unionByName(picked[1]).withColumn("fit", F.pmod(F.xxhash64("l_id", F.lit(1)), F.lit(4)) > 0)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = d.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("text", "toxic", "fit")  # 2 x train_rows ids
-    counted = rows.filter("fit").select("text", "toxic").mapInArrow(_count, "k string, toxic int, n long")
-    by_key = counted.groupBy("k").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    by_key = materialize(by_key.filter("t + c >= 5"))
-    total = by_key.filter(F.startswith("k", F.lit("="))).agg(F.sum("t"), F.sum("c")).first()
-    scale = (total[0] or 0) / (total[1] or 1) or 1.0
-    kept = by_key.withColumn("e", F.col("c") * scale).orderBy(F.desc(F.col("t") + F.col("e")), "k").limit(max_keys).collect()
-    ratios: dict[str, float] = {}
-    parents = {r["k"]: r for r in kept}
-    for level in [str(n) for n in PREFIXES] + ["="]:
-        for k, r in parents.items():
-            if k[0] == level:
-                ratio = 1.0
-                for up in keys(k[1:])[:-1] if level == "=" else [f"{n}{k[1 : 1 + n]}" for n in PREFIXES if n < int(level)]:
-                    ratio = ratios.get(up, ratio)
-                ratios[k] = (r["t"] + PRIOR * ratio) / (r["e"] + PRIOR)
-    shared = spark.sparkContext.broadcast(ratios)
+    counted = rows.filter("fit").select("text", "toxic").mapInArrow(_count, "bucket int, t long, c long")
+    found = counted.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).toArrow()
+    counts = np.zeros((2, BUCKETS + 1))
+    counts[:, found["bucket"].to_numpy()] = found["t"].to_numpy(), found["c"].to_numpy()
+    scale = counts[0, BUCKETS] / (counts[1, BUCKETS] or 1) or 1.0
+    ratios = Ratios(counts[0, :BUCKETS].astype(np.float32), (counts[1, :BUCKETS] * scale).astype(np.float32))
+    shared = spark.sparkContext.broadcast(ratios)  # 16 MB
 
     def best(batches):
         scores = Scores(shared.value)
@@ -202,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_segments, segments (start, end, score; word offsets of significant passages).
 
-    Null and empty texts have no segment and get the score of that. Without a model all scores are 0. Repeated rows are
-    scored each. Labels, language and source are not looked at.
+    Null and empty texts have no segment and get the score of that; texts of any length are scored whole. Without a model
+    all scores are 0. Repeated rows are scored each, and an empty table gives no rows. A null id is not held out. Labels,
+    language, source and any other columns are not looked at, so their names can't clash.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()

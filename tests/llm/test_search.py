@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_native import EMPTY, ODD, documents
 
 from tarnwell.llm import components, decontamination, jaccard_join, resampling, suffix_dedup, toxicity
@@ -376,3 +377,30 @@ def test_scores_by_brute_force(spark):
         assert got[i].score == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9)
         assert got[i].predicted == int(got[i].score >= 0.5)
     assert {r.predicted for r in got.values()} == {0, 1}
+
+
+def test_ratios_by_brute_force(spark):
+    docs, labels, rows = toxic_corpus(spark, 300)
+    ratios = toxicity.train(docs, labels)["ratios"].value
+    used = labels.filter(~toxicity.held_out(F.col("doc_id"))).filter("pmod(xxhash64(doc_id, 1), 4) > 0")
+    label = {r.doc_id: r.toxic for r in used.collect()}
+    counts = Counter((k, label[i]) for i, t, _ in rows if i in label for w in t.split() for k in toxicity.keys(w))
+    words = Counter(label[i] for i, t, _ in rows if i in label for _ in t.split())
+    # every word of the fit counts, however rare, and words that it lacks keep the ratio of their prefixes
+    for w in ["grubby", "vileness", "wretch", "wretched", "grubbily", "never"] + [f"w{k}" for k in range(150)]:
+        got = want = 1.0
+        for k in toxicity.keys(w):
+            got = ratios.get(k, got)
+            want = (counts[k, 1] + toxicity.PRIOR * want) / (counts[k, 0] * words[1] / words[0] + toxicity.PRIOR)
+        assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_toxicity_of_odd_labels(spark):
+    docs, labels, rows = toxic_corpus(spark, 300)
+    odd = spark.createDataFrame([(None, 1), (5, None), (6, 7), (10, 0), (10, 1), (10, 1)], "doc_id long, toxic int")
+    again = toxicity.train(docs, labels.select("doc_id", "toxic").unionByName(odd))
+    first = toxicity.train(docs, labels)
+    assert (again["ratios"].value.toxic == first["ratios"].value.toxic).all() and again["lam"] == first["lam"]
+    clashing = docs.withColumn("score", F.lit("x")).withColumn("text_", F.lit(1)).withColumn("toxic", F.lit(9)).withColumn("l_id", F.lit(3))
+    assert sorted(toxicity.score(clashing, first).collect()) == sorted(toxicity.score(docs, first).collect())
+    assert sorted(toxicity.score(docs, toxicity.train(clashing, labels)).collect()) == sorted(toxicity.score(docs, first).collect())
