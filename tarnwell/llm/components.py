@@ -5,35 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import discard, materialize
+from tarnwell.llm.common import BROADCAST_ROWS, discard, materialize, small
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    if large:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    hung = both.join(F.broadcast(low) if few else low, "a")
+    if large:
+        return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other and nothing hangs on it, or the other way round: stars, and so components."""
+    nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("bears"))
+    nodes = nodes.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("bears")))
+    each = nodes.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("bears").alias("bears"))
+    return each.filter("hangs + bears > 1").isEmpty()
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while not _settled(edges):
+        few = 2 * edges.count() <= BROADCAST_ROWS
+        last, edges = edges, materialize(_star(_star(edges, True, few), False, few))
+        discard(last)
+    return edges
+
+
+def _rooted(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", F.col("b").alias("root")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, root: every node of a link with the smallest node of its component.
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones, are hung on its smallest
-    neighbour, until nothing changes. Nodes are of any ordered type. A node's neighbours are only aggregated to a minimum,
-    so no group is gathered.
+    neighbour, until all are stars. Nodes are of any ordered type. A node's neighbours are only aggregated to a minimum,
+    so no group is gathered. The minima are broadcast only if the counted edges bound them.
     """
+    return _rooted(_stars(links))
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hung = both.join(low, "a")
-        if large:
-            return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        return hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-
-    edges = materialize(links.select("a", "b").filter("a <> b").distinct())
-    mark = None
-    while True:
-        last, edges = edges, materialize(star(star(edges, True), False))
-        discard(last)
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", F.col("b").alias("root"))).distinct()
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots(node, root) of earlier links with new links(a, b) taken in, materialized.
+
+    Only links between different roots are walked, so a later call costs what it connects, not what is known by then.
+    """
+    met, held = links, None
+    if roots is not None:
+        held = small(roots)
+        side = lambda c: held.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        met = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        met = met.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    stars = _stars(met)
+    new = out = materialize(_rooted(stars))
+    if held is not None:
+        moved = small(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        out = materialize(old.unionByName(new.join(held.select("node"), "node", "left_anti")))
+        discard(new)
+    discard(stars)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tarnwell.llm.common import discard, materialize, release, row_key, small, table
-from tarnwell.llm.components import components
+from tarnwell.llm.components import joined
 from tarnwell.llm.hashing import CHUNK, mix, pieces, word_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -240,22 +240,18 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long, linked boolean, common int"))
 
 
-def _links(listed: DataFrame, sets: DataFrame, texts: DataFrame, rounds: int, block: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, components): links enough to connect what all links connect, and the components of the last round."""
+def _links(listed: DataFrame, sets: DataFrame, texts: DataFrame, rounds: int, block: int) -> DataFrame | None:
+    """node, root: the components of all links, found by links enough to connect them; none without links."""
     base = _pairs_of_few(listed)
     groups = listed.filter("token is not null").select("token", F.get("m", F.lit(0)).alias("m"))
     enough = F.col("shared") > F.floor(F.col("least") / SLACK)
     pairs = base.filter(enough).select("a", "b")
-    done = links = roots = hubs = shares = None
+    done = roots = hubs = shares = None
     for turn in range(rounds + 2 if not groups.isEmpty() else 1):
         every = live = None
         if turn:
             live = groups.select("token", F.col("m.node").alias("node"), "m")
-            if links is not None:
-                roots = roots if roots is not None else components(links)
-                live = live.join(roots, "node", "left")
-            else:
-                live = live.withColumn("root", F.lit(None).cast("long"))
+            live = live.join(small(roots), "node", "left") if roots is not None else live.withColumn("root", F.lit(None).cast("long"))
             every = live = materialize(live.select("token", "m", F.coalesce("root", "node").alias("root")))
             # first the members with the fewest tokens of their own, which are nearest to most; then any
             lead = (F.xxhash64("m.node", F.lit(turn)) if turn > 2 else (F.col("m.n") - F.col("m.t")).cast("long") * 2 + F.pmod(F.xxhash64("m.node", F.lit(turn)), F.lit(2))).alias("lead")
@@ -281,9 +277,10 @@ def _links(listed: DataFrame, sets: DataFrame, texts: DataFrame, rounds: int, bl
         done = pairs if done is None else done.unionByName(pairs)
         new = checked.filter("linked").select("a", "b")
         if not new.isEmpty():
-            links, roots = new if links is None else links.unionByName(new), None
+            last, roots = roots, joined(roots, new)
+            discard(last)
         release(texts.sparkSession)
-    return links, roots if roots is not None or links is None else components(links)
+    return roots
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
@@ -321,7 +318,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few
     release(spark)
     listed = _listed(sets, few)
     release(spark)
-    links, roots = _links(listed, sets, texts, rounds, block)
+    roots = _links(listed, sets, texts, rounds, block)
     discard(texts, sets, listed)
     return _named(named, nodes, roots)
 

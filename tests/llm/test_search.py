@@ -153,6 +153,28 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_joined_in_batches(spark):
+    rng = np.random.default_rng(11)
+    batches = [[(int(a), int(b)) for a, b in rng.integers(0, 300, (60, 2))] for _ in range(3)] + [[(k, k + 1) for k in range(400, 440)], [(440, 3), (5, 5)], []]
+    parent = list(range(500))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    roots, seen = None, set()
+    for batch in batches:
+        roots = components.joined(roots, spark.createDataFrame(batch, "a long, b long"))
+        for a, b in batch:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+            seen |= {a, b} if a != b else set()
+        rows = roots.collect()
+        assert len(rows) == len({r.node for r in rows})
+        assert {r.node: r.root for r in rows} == {x: top(x) for x in seen}
+
+
 # --- suffix dedup --------------------------------------------------------------------------------------------------------
 def covered(seqs, length):
     """For each sequence, 1 for what is covered by `length` symbols that start anywhere else too."""
