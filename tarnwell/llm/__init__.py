@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwell.llm import chat, decontamination, filter_audit, jaccard_join, line_dedup, mixing, quality_rules, resampling, secrets, suffix_dedup, toxicity
+from tarnwell.llm import chat, decontamination, divergence, filter_audit, jaccard_join, line_dedup, mixing, quality_rules, resampling, secrets, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_source_divergence": divergence.op11_source_divergence,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.SQL,
         "op7_mixing": mixing.SQL,
         "op8_line_dedup": line_dedup.SQL,
+        "op11_source_divergence": divergence.SQL,
         "op13_filter_audit": filter_audit.SQL,
     }
