@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwell.llm import chat, decontamination, divergence, filter_audit, jaccard_join, line_dedup, mixing, quality_rules, resampling, secrets, suffix_dedup, toxicity
+from tarnwell.llm import chat, decontamination, divergence, filter_audit, jaccard_join, licenses, line_dedup, mixing, quality_rules, resampling, secrets, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_license_scan": licenses.op12_license_scan,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op11_source_divergence": divergence.SQL,
+        "op12_license_scan": licenses.SQL,
         "op13_filter_audit": filter_audit.SQL,
     }
