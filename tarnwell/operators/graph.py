@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.operators.paths import path_filter, required
+from tarnwell.sources.segments import small
 from tarnwell.sources.store import written
 
 
@@ -107,6 +108,54 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return out
 
 
+def changed_closure(closure: DataFrame, edges: DataFrame, removed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows(symbol_id, caller_id, depth) to add, pairs(symbol_id, caller_id) to take away first) that bring a closure to
+    edges(callee_id, caller_id), which are those that it was made of without `removed` and with `added`.
+
+    Delete and rederive, with least depths. Pairs whose depth may rest on a removed edge are taken out, round by round along
+    edges that fit the depths; then they are found again from pairs that are left, and pairs by way of added edges with
+    them, each round going on from what the last one has found or shortened. Only symbols that reach a changed edge are
+    looked at. Edges may repeat.
+    """
+    removed, added = written(removed.distinct()), written(added.distinct())
+    pair, one = ["symbol_id", "caller_id"], F.lit(1)
+    heads = removed.unionByName(added).select(F.col("callee_id").alias("caller_id")).distinct()
+    sources = closure.join(small(heads), "caller_id", "left_semi").select("symbol_id").unionByName(heads.withColumnRenamed("caller_id", "symbol_id")).distinct()
+    mine = written(closure.select(*pair, "depth").join(small(written(sources)), "symbol_id", "left_semi"))
+
+    def onward(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """rows(symbol_id, caller_id, depth) one edge on."""
+        step = by.select(F.col("callee_id").alias("x"), F.col("caller_id").alias("up"))
+        return step.join(small(rows.withColumnRenamed("caller_id", "x")), "x").groupBy("symbol_id", F.col("up").alias("caller_id")).agg((F.min("depth") + 1).alias("depth"))
+
+    def start(by: DataFrame) -> DataFrame:
+        return by.select(F.col("callee_id").alias("symbol_id"), "caller_id", one.alias("depth"))
+
+    least = lambda rows: rows.groupBy(*pair).agg(F.min("depth").alias("depth"))
+    new = written(least(onward(mine, removed).unionByName(start(removed))).join(mine, [*pair, "depth"], "left_semi"))
+    gone = new
+    while not new.isEmpty():
+        new = written(onward(new, edges).join(mine, [*pair, "depth"], "left_semi").join(gone, pair, "left_anti"))
+        gone = written(gone.unionByName(new))
+    left = written(mine.join(gone, pair, "left_anti"))
+
+    # again: by an edge from what is left to a pair that went, or by an added edge
+    into = edges.join(small(gone.select("caller_id").distinct()), "caller_id", "left_semi").select(F.col("callee_id").alias("x"), "caller_id")
+    ways = gone.select(*pair).join(into, "caller_id")
+    again = ways.join(left.select("symbol_id", F.col("caller_id").alias("x"), "depth"), ["symbol_id", "x"]).select(*pair, (F.col("depth") + 1).alias("depth"))
+    direct = ways.filter("x = symbol_id").select(*pair, one.alias("depth"))
+    new = written(least(again.unionByName(direct).unionByName(onward(left, added)).unionByName(start(added))))
+    found = new.limit(0)
+    while not new.isEmpty():
+        known = least(left.unionByName(found)).withColumnRenamed("depth", "known")
+        new = written(new.join(known, pair, "left").filter("known is null or depth < known").drop("known"))
+        found = written(least(found.unionByName(new)))
+        new = written(onward(new, edges))
+    same = found.join(mine, [*pair, "depth"], "left_semi").select(*pair)
+    dead = gone.select(*pair).unionByName(found.join(left, pair, "left_semi").select(*pair)).distinct().join(same, pair, "left_anti")
+    return written(found.join(same, pair, "left_anti")), written(dead)
+
+
 def blast_radius(closure: DataFrame, symbols: DataFrame, files: DataFrame, name: str) -> DataFrame:
     """depth, n_callers, callers of the first symbol of a name, with found, total_affected and max_depth on each row."""
     first = symbols.filter(F.col("name") == name).agg(F.min("id").alias("symbol_id"))

@@ -334,7 +334,7 @@ def stream_maintain(spark, sf_dir):
     rows.write.parquet(f"{base}/changes")
     changes.maintain(spark, f"{base}/changes", f"{base}/store", f"{base}/checkpoint").awaitTermination()
     store = ingest.Store(spark, f"{base}/store")
-    return store._read("files", store.version()).select("path", "content")
+    return store.live("files").select("path", "content")
 
 
 @query("SELECT user_id AS symbol_id, event_type AS commit_hash, min(event_id) AS id FROM events GROUP BY user_id, event_type")

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window as W
 
 from tarnwell.functions import extract
 from tarnwell.operators import graph, resolve
+from tarnwell.plans import schema
 from tarnwell.plans.index import CodeIndex
 from tarnwell.plans.schema import PER_FILE
 from tarnwell.sources.scan import detect_language, scan_tree
-from tarnwell.sources.store import written
-
+from tarnwell.sources.segments import Segments, small
+from tarnwell.sources.store import steps, written
 
 #: Ids that a file can have.
 ROOM = (1 << 63) // PER_FILE
@@ -25,12 +26,15 @@ def with_ids(paths: DataFrame, taken: DataFrame | None = None, room: int = ROOM)
     named = written(paths.select("path").distinct().withColumn("id", ident(0)))
     held = taken.select("id", "path", F.lit(0).alias("late")) if taken is not None else None
     if held is not None:
-        named = written(named.join(held.select("path", F.col("id").alias("old")), "path", "left").select("path", F.coalesce("old", "id").alias("id")))
+        known = held.select("path", F.col("id").alias("old")).join(small(named.select("path")), "path", "left_semi")
+        named = written(named.join(known, "path", "left").select("path", F.coalesce("old", "id").alias("id")))
     salt = 0
     while True:
         every = named.withColumn("late", F.lit(1))
         if held is not None:
-            every = every.join(held.select("path"), "path", "left_anti").select("id", "path", "late").unionByName(held)
+            # of earlier ids only those at stake: they are many, and a change is small
+            near = held.join(small(named.select("id").distinct()), "id", "left_semi")
+            every = every.join(near.select("path"), "path", "left_anti").select("id", "path", "late").unionByName(near)
         first = every.groupBy("id").agg(F.min(F.struct("late", "path")).alias("one"), F.count("*").alias("n")).filter("n > 1").select("id", "one.path")
         lost = written(named.join(first.withColumnRenamed("path", "first"), "id").filter("path <> first").select("path"))
         if lost.isEmpty():
@@ -55,35 +59,70 @@ def build(spark: SparkSession, sources: DataFrame, with_closure: bool = True) ->
     return assemble(spark, files, facts, with_closure)
 
 
-def assemble(spark: SparkSession, files: DataFrame, facts: DataFrame, with_closure: bool = True) -> CodeIndex:
-    meta = files.select("id", "path", "lang", "mtime", "hash")
+def split_lines(files: DataFrame) -> DataFrame:
     split = files.select(F.col("id").alias("file_id"), F.posexplode(F.split("content", "\r?\n")).alias("p", "text"), F.size(F.split("content", "\r?\n")).alias("n"))
-    lines = split.filter("not (p = n - 1 and text = '' and n > 1)").select("file_id", (F.col("p") + 1).alias("line_no"), "text")
-    of = lambda fact: facts.filter(F.col("fact") == fact)
+    return split.filter("not (p = n - 1 and text = '' and n > 1)").select("file_id", (F.col("p") + 1).alias("line_no"), "text")
+
+
+def of_kind(facts: DataFrame, fact: str) -> DataFrame:
+    return facts.filter(F.col("fact") == fact)
+
+
+def file_symbols(meta: DataFrame, facts: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("file_id").orderBy("line_start", F.desc("line_end"), "kind", "name"))
-    symbols = of("symbol").select("file_id", "name", "kind", "line_start", "line_end").withColumn("id", F.col("file_id") * PER_FILE + place)
+    symbols = of_kind(facts, "symbol").select("file_id", "name", "kind", "line_start", "line_end").withColumn("id", F.col("file_id") * PER_FILE + place)
     symbols = symbols.join(meta.select(F.col("id").alias("f_id"), "path", "lang"), F.col("file_id") == F.col("f_id"))
-    symbols = written(symbols.select("id", "file_id", "name", "kind", "line_start", "line_end", resolve.qualified_name(F.col("path"), F.col("lang"), F.col("name")).alias("qualified_name")))
+    return symbols.select("id", "file_id", "name", "kind", "line_start", "line_end", resolve.qualified_name(F.col("path"), F.col("lang"), F.col("name")).alias("qualified_name"))
+
+
+def file_calls(facts: DataFrame) -> DataFrame:
     order = F.row_number().over(W.partitionBy("file_id", "line_start").orderBy("name")) - 1
-    calls = of("call").filter(resolve.is_call_name(F.col("name"))).select("file_id", F.col("line_start").alias("line"), order.cast("int").alias("pos"), F.col("name").alias("callee_name"))
-    calls = written(calls)
-    last = F.row_number().over(W.partitionBy("file_id", "name").orderBy(F.desc("line_start")))
-    imports = of("import").select("file_id", F.col("name").alias("module"), "level", F.col("flag").alias("is_star"), "line_start")
+    return of_kind(facts, "call").filter(resolve.is_call_name(F.col("name"))).select("file_id", F.col("line_start").alias("line"), order.cast("int").alias("pos"), F.col("name").alias("callee_name"))
+
+
+def file_imports(facts: DataFrame) -> DataFrame:
+    imports = of_kind(facts, "import").select("file_id", F.col("name").alias("module"), "level", F.col("flag").alias("is_star"), "line_start")
     newest = F.row_number().over(W.partitionBy("file_id", "module").orderBy(F.desc("line_start")))
     imports = imports.withColumn("r", newest).filter("r = 1").drop("r", "line_start")
-    imports = imports.withColumn("id", F.col("file_id") * PER_FILE + F.row_number().over(W.partitionBy("file_id").orderBy("module"))).select("id", "file_id", "module", "level", "is_star")
+    return imports.withColumn("id", F.col("file_id") * PER_FILE + F.row_number().over(W.partitionBy("file_id").orderBy("module"))).select("id", "file_id", "module", "level", "is_star")
+
+
+def file_docstrings(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    last = F.row_number().over(W.partitionBy("file_id", "name").orderBy(F.desc("line_start")))
+    docs = of_kind(facts, "docstring").withColumn("r", last).filter("r = 1").select("file_id", "name", F.col("detail").alias("content"), "line_start", "line_end")
+    docs = resolve.first_by_name(docs.withColumnsRenamed({"line_start": "d_start", "line_end": "d_end"}), symbols)
+    return docs.select("file_id", "symbol_id", "content", F.col("d_start").alias("line_start"), F.col("d_end").alias("line_end"))
+
+
+def file_hints(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    hints = of_kind(facts, "hint").select("file_id", "name", F.split("detail", "\x01")[0].alias("param_name"), F.split("detail", "\x01")[1].alias("annotation"), F.col("flag").alias("is_return"))
+    return resolve.first_by_name(hints, symbols).select("file_id", "symbol_id", F.nullif("param_name", F.lit("")).alias("param_name"), "annotation", "is_return")
+
+
+def file_tokens(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file_id, line, name of names that don't define a symbol where they stand."""
+    names = of_kind(facts, "name").select("file_id", F.col("line_start").alias("line"), "name")
+    return names.join(symbols.select("file_id", F.col("line_start").alias("line"), "name"), ["file_id", "line", "name"], "left_anti")
+
+
+def from_facts(facts: DataFrame) -> dict[str, DataFrame]:
+    """Relations that are facts as they are."""
+    of = lambda fact: of_kind(facts, fact)
+    return {
+        "name_uses": of("name").select("file_id", "name"), "imported_names": of("imported").select("file_id", F.col("detail").alias("module"), "name", "level", F.col("flag").alias("is_star")),
+        "bare_calls": of("call").filter("flag").select("file_id", "name").distinct(), "decorated": of("decorated").select("file_id", "name").distinct(),
+    }
+
+
+def assemble(spark: SparkSession, files: DataFrame, facts: DataFrame, with_closure: bool = True) -> CodeIndex:
+    meta = files.select("id", "path", "lang", "mtime", "hash")
+    symbols = written(file_symbols(meta, facts))
+    calls, imports = written(file_calls(facts)), file_imports(facts)
     edges = written(resolve.resolve_callees(resolve.enclosing_symbol(calls, symbols), symbols, imports, meta))
-    docs = of("docstring").withColumn("r", last).filter("r = 1").select("file_id", "name", F.col("detail").alias("content"), "line_start", "line_end")
-    docs = resolve.first_by_name(docs.withColumnsRenamed({"line_start": "d_start", "line_end": "d_end"}), symbols).select("symbol_id", "content", F.col("d_start").alias("line_start"), F.col("d_end").alias("line_end"))
-    names = of("name").select("file_id", F.col("line_start").alias("line"), "name")
-    defined = symbols.select("file_id", F.col("line_start").alias("line"), "name")
-    references = resolve.references_near(names.join(defined, ["file_id", "line", "name"], "left_anti"), symbols)
-    hints = of("hint").select("file_id", "name", F.split("detail", "\x01")[0].alias("param_name"), F.split("detail", "\x01")[1].alias("annotation"), F.col("flag").alias("is_return"))
-    hints = resolve.first_by_name(hints, symbols).select("symbol_id", F.nullif("param_name", F.lit("")).alias("param_name"), "annotation", "is_return")
+    references = resolve.references_near(file_tokens(facts, symbols), symbols)
     out = CodeIndex.empty(
-        spark, files=meta, lines=lines, symbols=symbols, calls=calls, call_edges=edges, imports=imports, docstrings=docs, symbol_references=references, type_hints=hints,
-        name_uses=names.select("file_id", "name"), imported_names=of("imported").select("file_id", F.col("detail").alias("module"), "name", "level", F.col("flag").alias("is_star")),
-        bare_calls=of("call").filter("flag").select("file_id", "name").distinct(), decorated=of("decorated").select("file_id", "name").distinct(),
+        spark, files=meta, lines=split_lines(files), symbols=symbols, calls=calls, call_edges=edges, imports=imports, symbol_references=references, docstrings=file_docstrings(facts, symbols).drop("file_id"),
+        type_hints=file_hints(facts, symbols).drop("file_id"), **from_facts(facts),
     )
     if with_closure:
         out.closure = graph.closure(graph.live_edges(out))
@@ -132,55 +171,157 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | No
     return old.join(new.select(*key), key, "left_anti").unionByName(last.select(*old.columns))
 
 
+#: Relations of a Store at rest and their keys: a row belongs to a file, but calls and references may change without it.
+RELATIONS = {
+    "files": ("id long, path string, lang string, mtime double, hash string, content string", ["id"]),
+    "facts": (extract.FACT, ["file_id"]),
+    "symbols": (schema.SYMBOLS, ["file_id"]),
+    "imports": (schema.IMPORTS, ["file_id"]),
+    "docstrings": (f"file_id long, {schema.DOCSTRINGS}", ["file_id"]),
+    "type_hints": (f"file_id long, {schema.TYPE_HINTS}", ["file_id"]),
+    "calls": ("file_id long, line int, pos int, callee_name string, caller_id long, callee_id long, resolved_name string, callee_file string", ["file_id", "line", "pos"]),
+    "names": ("file_id long, line int, name string, symbol_id long", ["file_id", "line", "name"]),
+    "closure": (schema.CLOSURE, ["symbol_id", "caller_id"]),
+}
+
+
 class Store:
-    """An index at rest that is maintained by change: file contents and facts are kept, so that only changed files are
-    parsed again. Versions are folders; the last number in `current` is the one in use."""
+    """An index at rest that is maintained by change, batch by batch.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Only changed files are parsed. Calls and names of other files are resolved again only where the change moves their
+    target: where a name that the changed files define, or did, has another only definition than before, or where a
+    qualified name that such a file imports has. The closure, if it is asked for, follows by the call pairs that came and
+    went. What a batch writes is what changed; of other tables it reads the columns that it compares, and shuffles none of them as long as the
+    change itself is small enough to broadcast.
+    """
 
-    def _read(self, name: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{version}/{name}")
+    def __init__(self, spark: SparkSession, path: str, with_closure: bool = False):
+        self.spark, self.with_closure = spark, with_closure
+        self.at = Segments(spark, path, RELATIONS if with_closure else {n: r for n, r in RELATIONS.items() if n != "closure"})
 
     def version(self) -> int:
-        jvm = self.spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return 0
-        found = [s.getPath().getName() for s in fs.listStatus(base)]
-        done = [int(n[1:]) for n in found if n[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/facts/_SUCCESS"))]
-        return max(done, default=0)
+        return self.at.version()
+
+    def live(self, name: str) -> DataFrame:
+        return self.at.live(name).drop("born")
+
+    def touched(self) -> dict[str, tuple[int, int]]:
+        """Rows that the last batch added to and took from each relation."""
+        return {n: (m["added"], m["buried"]) for n, m in self.at.mark().items()}
 
     def apply(self, upserts: DataFrame | None, deletes: DataFrame | None = None, order: list[str] | None = None) -> int:
         """upserts(path, content) and deletes(path) on the current version; files of the same hash are not parsed again. Of
         several contents of a path the last by `order` holds (columns of upserts), without one the greatest. Returns the
-        new version. A version counts once its facts are complete, and what a build that was cut off has left is written
-        over; the version before the last is dropped."""
+        version then, the same as before if nothing has changed."""
+        with steps(self.spark):
+            return self._apply(upserts, deletes, order)
+
+    def _apply(self, upserts: DataFrame | None, deletes: DataFrame | None, order: list[str] | None) -> int:
         now = self.version()
-        if now:
-            old, facts = self._read("files", now), self._read("facts", now)
-        else:
-            old = self.spark.createDataFrame([], "id long, path string, lang string, mtime double, hash string, content string")
-            facts = self.spark.createDataFrame([], extract.FACT)
+        n, put, live = now + 1, self.at.put, self.at.live
+        self.at.clean(n)
+        old = live("files").select("id", "path", "hash", "born")
         gone = deletes.select("path") if deletes is not None else self.spark.createDataFrame([], "path string")
-        files = None
+        fresh = self.spark.createDataFrame([], RELATIONS["files"][0])
         if upserts is not None:
-            files = file_table(last_by(upserts, ["path"], order or ["content"]), old)
-            files = files.join(gone, "path", "left_anti").select(*old.columns)
-            fresh = written(files.join(old.select("path", "hash"), ["path", "hash"], "left_anti").select(*old.columns))
-            gone = gone.unionByName(fresh.select("path")).distinct()
-        else:
-            fresh = self.spark.createDataFrame([], old.schema)
-        kept = old.join(gone, "path", "left_anti")
-        lost = old.join(gone, "path", "left_semi").select(F.col("id").alias("file_id"))
-        out = f"{self.path}/v{now + 1}"
-        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{out}/files")
-        facts.join(lost, "file_id", "left_anti").unionByName(extract.extract(fresh.filter("lang is not null"))).write.mode("overwrite").parquet(f"{out}/facts")
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{now - 1}")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        return now + 1
+            files = file_table(last_by(upserts, ["path"], order or ["content"]), old.select("id", "path")).join(gone, "path", "left_anti")
+            same = old.select("path", "hash").join(small(files.select("path")), "path", "left_semi")
+            fresh = files.join(same, ["path", "hash"], "left_anti")
+        fresh = put(n, "files", fresh)
+        gone = gone.unionByName(fresh.select("path")).distinct()
+        lost = written(old.join(small(gone), "path", "left_semi").select("id", "born"))
+        if fresh.isEmpty() and lost.isEmpty():
+            self.at.clean(n)
+            return now
+        put(n, "files", None, lost)
+        facts = put(n, "facts", extract.extract(fresh.filter("lang is not null")))
+        self._derive(n, fresh, facts, lost.select(F.col("id").alias("file_id"), "born"))
+        self.at.commit(n)
+        return self.at.merge() if self.at.due() else n
+
+    def _derive(self, n: int, fresh: DataFrame, facts: DataFrame, lost: DataFrame) -> None:
+        """What hangs on changed files (fresh(id, ...) with their facts, and lost(file_id, born) of versions that went)."""
+        put, live = self.at.put, self.at.live
+        of_lost = lost.select("file_id", "born")
+        lost = small(lost.select("file_id"))
+        ended = lambda name: live(name).join(lost, "file_id", "left_semi")
+        kept = lambda name: live(name).join(lost, "file_id", "left_anti")
+        meta = fresh.select("id", "path", "lang", "mtime", "hash")
+        # these are born and end with their file
+        put(n, "facts", None, of_lost)
+        before = written(ended("symbols"))
+        symbols = put(n, "symbols", file_symbols(meta, facts), of_lost)
+        imports = put(n, "imports", file_imports(facts), of_lost)
+        put(n, "docstrings", file_docstrings(facts, symbols), of_lost)
+        put(n, "type_hints", file_hints(facts, symbols), of_lost)
+        every = kept("symbols").unionByName(symbols)
+        moved, requalified = self._moved(before, symbols, every)
+
+        # calls of the changed files, and calls elsewhere whose target the change may move
+        own = file_calls(facts)
+        own = own.join(resolve.enclosing_symbol(own, symbols).select("file_id", "line", "pos", "caller_id"), ["file_id", "line", "pos"], "left")
+        others = kept("calls").filter("caller_id is not null")
+        all_imports = kept("imports").unionByName(imports)
+        through = requalified.join(all_imports.select("module", "file_id").distinct(), "module").select("file_id", "callee_name").distinct()
+        by_name = others.join(small(moved.withColumnRenamed("name", "callee_name")), "callee_name", "left_semi")
+        by_module = others.join(small(through), ["file_id", "callee_name"], "left_semi")
+        call = ["file_id", "line", "pos", "callee_name", "caller_id"]
+        again = written(by_name.unionByName(by_module).select(*call, "callee_id", "born").distinct())
+        todo = written(own.unionByName(again.select(*call)))
+        wanted = small(todo.select(F.col("callee_name").alias("name")).distinct())
+        callers = small(todo.select(F.col("caller_id").alias("id")).distinct())
+        targets = every.join(wanted, "name", "left_semi")
+        targets = written(targets.unionByName(every.join(wanted, "name", "left_anti").join(callers, "id", "left_semi")))
+        paths = live("files").join(lost.withColumnRenamed("file_id", "id"), "id", "left_anti").select("id", "path").unionByName(meta.select("id", "path"))
+        paths = paths.join(small(targets.select(F.col("file_id").alias("id")).distinct()), "id", "left_semi")
+        near = all_imports.join(small(todo.select("file_id").distinct()), "file_id", "left_semi")
+        found = resolve.resolve_callees(todo.filter("caller_id is not null"), targets, near, paths, keep=("file_id",))
+        outside = todo.filter("caller_id is null").select(*call).selectExpr("*", "cast(null as long) callee_id", "cast(null as string) resolved_name", "cast(null as string) callee_file")
+        dead_calls = written(ended("calls").select(*call, "callee_id", "born").unionByName(again.select(*call, "callee_id", "born")))
+        calls = put(n, "calls", found.select(*call, "callee_id", "resolved_name", "callee_file").unionByName(outside), dead_calls)
+
+        # names likewise
+        stale = kept("names").join(small(moved), "name", "left_semi")
+        tokens = file_tokens(facts, symbols).unionByName(stale.select("file_id", "line", "name"))
+        tokens = written(tokens)
+        known = every.join(small(tokens.select("name").distinct()), "name", "left_semi")
+        put(n, "names", resolve.references_near(tokens, known, every=True), ended("names").unionByName(stale))
+        if self.with_closure:
+            pairs = lambda rows: rows.filter("callee_id is not null and caller_id is not null").select("callee_id", "caller_id")
+            one = ["callee_id", "caller_id"]
+            left = live("calls").join(small(dead_calls.select("file_id", "line", "pos", "born")), ["file_id", "line", "pos", "born"], "left_anti")
+            after = pairs(left).unionByName(pairs(calls))
+            went, came = written(pairs(dead_calls).distinct()), written(pairs(calls).distinct())
+            removed = went.join(after.join(small(went), one, "left_semi"), one, "left_anti")
+            added = came.join(pairs(live("calls")).join(small(came), one, "left_semi"), one, "left_anti")
+            new, dead = graph.changed_closure(live("closure").drop("born"), after, removed, added)
+            dead = live("closure").select("symbol_id", "caller_id", "born").join(small(dead), ["symbol_id", "caller_id"], "left_semi")
+            put(n, "closure", new, dead)
+
+    def _moved(self, before: DataFrame, after: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(name) of the names whose only symbol is another than before, if there was or is one, and (module, callee_name) of
+        the qualified names that lead to another symbol."""
+
+        def differs(key: str, one) -> DataFrame:
+            at_stake = small(before.select(key).unionByName(after.select(key)).distinct())
+            was = self.at.live("symbols").join(at_stake, key, "left_semi").groupBy(key).agg(one.alias("was"))
+            now = every.join(at_stake, key, "left_semi").groupBy(key).agg(one.alias("now"))
+            return was.join(now, key, "full").filter(~F.col("was").eqNullSafe(F.col("now"))).select(key)
+
+        names = written(differs("name", F.when(F.count("*") == 1, F.min("id"))))
+        q = F.col("qualified_name")
+        qualified = written(differs("qualified_name", F.min("id")).select(F.regexp_replace(q, r"\.[^.]*$", "").alias("module"), F.substring_index(q, ".", -1).alias("callee_name")))
+        return names, qualified
 
     def index(self, with_closure: bool = True) -> CodeIndex:
-        now = self.version()
-        return assemble(self.spark, self._read("files", now), self._read("facts", now), with_closure)
+        """The current version's relations, as they are at rest."""
+        files, facts, calls = self.live("files"), self.live("facts"), self.live("calls")
+        meta = files.select("id", "path", "lang", "mtime", "hash")
+        edges = calls.filter("caller_id is not null").select("caller_id", "callee_name", "line", "pos", "callee_id", "resolved_name", "callee_file")
+        out = CodeIndex.empty(
+            self.spark, files=meta, lines=split_lines(files), symbols=self.live("symbols"), calls=calls.select("file_id", "line", "pos", "callee_name"), call_edges=edges, imports=self.live("imports"), docstrings=self.live("docstrings").drop("file_id"),
+            type_hints=self.live("type_hints").drop("file_id"), symbol_references=self.live("names").filter("symbol_id is not null").select("symbol_id", "file_id", "line"), **from_facts(facts),
+        )
+        if with_closure:
+            out.closure = self.live("closure") if self.with_closure else graph.closure(graph.live_edges(out))
+        return out

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def steps(spark: SparkSession):
+    """Deletes the tables that written() makes inside, at the end: for work that leaves its results elsewhere."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scopes.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _scopes.paths = outer
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes a table below spark.checkpoint.dir and reads it back, so a loop's plan stays short and lost executors cost
-    nothing."""
+    nothing. Inside of steps() it goes at the end of that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -46,7 +46,7 @@ def test_the_last_row_of_a_key_stays(spark, tmp_path):
     assert sorted(map(tuple, ingest.upsert(old, new, ["k"], ["at"]).collect()), key=str) == [(1, "x"), (2, "z"), (3, None), (9, "p")]
     at = ingest.Store(spark, str(tmp_path / "s"))
     at.apply(spark.createDataFrame([("a.py", "x = 1", 2), ("a.py", "x = 2", 1)], "path string, content string, n int"), order=["n"])
-    assert [r.content for r in at._read("files", 1).collect()] == ["x = 1"]
+    assert [r.content for r in at.live("files").collect()] == ["x = 1"]
 
 
 def test_only_a_local_session_may_choose_its_folder(spark):
