@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import re
+import threading
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.sources.segments import Segments
+
 MODEL, DIMENSIONS = "hashed-tokens-384", 384
 DOC_LINES, BODY_LINES = 15, 5
+EMBEDDED = ("function", "class", "method")
 
 
 def encode(text: str) -> list[float] | None:
@@ -41,7 +48,7 @@ def symbol_text(kind: Column, name: Column, docstring: Column, lines: Column) ->
 
 def symbol_texts(index, done: DataFrame | None = None) -> DataFrame:
     """symbol_id, text of functions, classes and methods that have no vector yet."""
-    s = index.symbols.filter(F.col("kind").isin("function", "class", "method"))
+    s = index.symbols.filter(F.col("kind").isin(*EMBEDDED))
     if done is not None:
         s = s.join(done.select(F.col("symbol_id").alias("id")), "id", "left_anti")
     li = index.lines.select(F.col("file_id").alias("l_file"), "line_no", "text")
@@ -56,14 +63,65 @@ def embed_symbols(index, done: DataFrame | None = None) -> DataFrame:
     return symbol_texts(index, done).select("symbol_id", encode_column(F.col("text")).alias("embedding"), F.lit(MODEL).alias("model"))
 
 
-class EmbeddingStatus:
-    """State of the embedding job, kept by the driver."""
-
-    def __init__(self):
-        self.state = {"enabled": False, "running": False, "model": MODEL, "total": 0, "done": 0, "error": None}
-
-    def update(self, **values) -> dict:
-        if unknown := set(values) - set(self.state):
-            raise ValueError(f"unknown fields: {sorted(unknown)}")
-        self.state |= values
-        return dict(self.state)
+VECTORS = ("symbol_id long, embedding array<float>, model string", ["symbol_id"])
+
+
+class EmbeddingJob:
+    """Vectors at rest, made slice by slice. Each slice is committed when it is done, so a run that was stopped or has failed
+    goes on with the symbols that have no vector. stop() may come from another thread: it cancels what runs just now."""
+
+    def __init__(self, spark: SparkSession, path: str, slices: int = 16):
+        self.spark, self.slices, self.at = spark, slices, Segments(spark, path, {"embeddings": VECTORS})
+        self.tag, self._stopped = f"embedding-{uuid.uuid4().hex}", threading.Event()
+        self.state = {"enabled": True, "running": False, "model": MODEL, "total": 0, "done": 0, "error": None}
+
+    def vectors(self) -> DataFrame:
+        return self.at.live("embeddings").drop("born")
+
+    def status(self) -> dict:
+        """Whether it runs, how many symbols there are and how many have a vector, and the last error."""
+        mark = self.at.mark()["embeddings"]
+        return self.state | {"done": mark["n_rows"] - mark["n_dead"]}
+
+    def enable(self, on: bool) -> dict:
+        self.state["enabled"] = on
+        return self.status()
+
+    def stop(self) -> None:
+        self._stopped.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def run(self, index, after: Callable[[dict], None] | None = None) -> dict:
+        """Makes the vectors that are missing; `after` is told the status after each slice. Vectors of symbols that are gone
+        are taken out first."""
+        if not self.state["enabled"]:
+            return self.status()
+        self._stopped.clear()
+        self.state |= {"running": True, "error": None}
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
+        try:
+            wanted = index.symbols.filter(F.col("kind").isin(*EMBEDDED)).select(F.col("id").alias("symbol_id"))
+            self.state["total"] = wanted.count()
+            n = self.at.version() + 1
+            self.at.clean(n)
+            self.at.put(n, "embeddings", None, self.at.live("embeddings").select("symbol_id", "born").join(wanted, "symbol_id", "left_anti"))
+            self.at.commit(n)
+            for k in range(self.slices):
+                if self._stopped.is_set():
+                    break
+                n = self.at.version() + 1
+                self.at.clean(n)
+                part = dataclasses.replace(index, symbols=index.symbols.filter(F.pmod(F.xxhash64("id"), F.lit(self.slices)) == k))
+                self.at.put(n, "embeddings", embed_symbols(part, self.vectors()))
+                self.at.commit(n)
+                if after:
+                    after(self.status())
+        except Exception as e:
+            if not self._stopped.is_set():  # what stop() cancels is no error
+                self.state["error"] = f"{type(e).__name__}: {e}"[:500]
+                raise
+        finally:
+            context.removeJobTag(self.tag)
+            self.state["running"] = False
+        return self.status()

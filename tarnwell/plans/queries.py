@@ -14,7 +14,7 @@ from tarnwell.plans import sqldoor
 from tarnwell.plans.derive import derive, sql
 from tarnwell.sources import scan
 from tarnwell.sources.store import shared_dir
-from tarnwell.streaming import changes
+from tarnwell.streaming import changes, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,9 +474,9 @@ def latest_version(spark, sf_dir):
 def stream_latest(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*").select("user_id", "ts", "event_id", "event_type")
-    path = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
-    run = changes.stream_latest(spark, source, "user_id", ("ts", "event_id"), path)
-    return changes.newest_version(run, spark, path).drop("ts")
+    checkpoint = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
+    state.keep_newest(source, "user_id", ("ts", "event_id"), checkpoint).awaitTermination()
+    return state.held(spark, checkpoint).drop("ts")
 
 
 @query("SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,9 +13,10 @@ from tarnwell.operators import graph, resolve
 from tarnwell.plans import schema
 from tarnwell.plans.index import CodeIndex
 from tarnwell.plans.schema import PER_FILE
-from tarnwell.sources.scan import detect_language, scan_tree
-from tarnwell.sources.segments import Segments, small
-from tarnwell.sources.store import steps, written
+from tarnwell.sources import tree
+from tarnwell.sources.scan import detect_language
+from tarnwell.sources.segments import Segments
+from tarnwell.sources.store import rows_of, small, steps, written
 
 #: Ids that a file can have.
 ROOM = (1 << 63) // PER_FILE
@@ -26,18 +29,18 @@ def with_ids(paths: DataFrame, taken: DataFrame | None = None, room: int = ROOM)
     named = written(paths.select("path").distinct().withColumn("id", ident(0)))
     held = taken.select("id", "path", F.lit(0).alias("late")) if taken is not None else None
     if held is not None:
-        known = held.select("path", F.col("id").alias("old")).join(small(named.select("path")), "path", "left_semi")
+        known = held.select("path", F.col("id").alias("old")).join(small(named.select("path"), named), "path", "left_semi")
         named = written(named.join(known, "path", "left").select("path", F.coalesce("old", "id").alias("id")))
     salt = 0
     while True:
         every = named.withColumn("late", F.lit(1))
         if held is not None:
             # of earlier ids only those at stake: they are many, and a change is small
-            near = held.join(small(named.select("id").distinct()), "id", "left_semi")
+            near = held.join(small(named.select("id"), named), "id", "left_semi")
             every = every.join(near.select("path"), "path", "left_anti").select("id", "path", "late").unionByName(near)
         first = every.groupBy("id").agg(F.min(F.struct("late", "path")).alias("one"), F.count("*").alias("n")).filter("n > 1").select("id", "one.path")
         lost = written(named.join(first.withColumnRenamed("path", "first"), "id").filter("path <> first").select("path"))
-        if lost.isEmpty():
+        if not rows_of(lost):
             return paths.join(named, "path")
         salt += 1
         named = written(named.join(lost.withColumn("again", F.lit(True)), "path", "left").select("path", F.when(F.col("again"), ident(salt)).otherwise(F.col("id")).alias("id")))
@@ -130,7 +133,7 @@ def assemble(spark: SparkSession, files: DataFrame, facts: DataFrame, with_closu
 
 
 def build_tree(spark: SparkSession, root: str, **options) -> CodeIndex:
-    return build(spark, scan_tree(spark, root), **options)
+    return build(spark, tree.scan(spark, root), **options)
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -195,8 +198,10 @@ class Store:
     change itself is small enough to broadcast.
     """
 
-    def __init__(self, spark: SparkSession, path: str, with_closure: bool = False):
-        self.spark, self.with_closure = spark, with_closure
+    def __init__(self, spark: SparkSession, path: str, with_closure: bool = False, on_event: Callable[[dict], None] | None = None):
+        """on_event gets each batch's start, and its end (`done` with files indexed, skipped as they are the same, and deleted,
+        and the rows written) or `error`; the numbers are taken while the batch is written."""
+        self.spark, self.with_closure, self.on_event = spark, with_closure, on_event or (lambda event: None)
         self.at = Segments(spark, path, RELATIONS if with_closure else {n: r for n, r in RELATIONS.items() if n != "closure"})
 
     def version(self) -> int:
@@ -213,10 +218,20 @@ class Store:
         """upserts(path, content) and deletes(path) on the current version; files of the same hash are not parsed again. Of
         several contents of a path the last by `order` holds (columns of upserts), without one the greatest. Returns the
         version then, the same as before if nothing has changed."""
-        with steps(self.spark):
-            return self._apply(upserts, deletes, order)
-
-    def _apply(self, upserts: DataFrame | None, deletes: DataFrame | None, order: list[str] | None) -> int:
+        self.on_event({"event": "start", "version": self.version() + 1})
+        seen = Observation()
+        try:
+            with steps(self.spark):
+                version, indexed, lost = self._apply(upserts, deletes, order, seen)
+        except Exception as e:
+            self.on_event({"event": "error", "message": f"{type(e).__name__}: {e}"[:500]})
+            raise
+        files = seen.get.get("n", 0) if upserts is not None else 0
+        rows = sum(a for a, _ in self.touched().values()) if indexed or lost else 0
+        self.on_event({"event": "done", "version": version, "indexed": indexed, "skipped": files - indexed, "deleted": lost, "rows": rows})
+        return version
+
+    def _apply(self, upserts: DataFrame | None, deletes: DataFrame | None, order: list[str] | None, seen: Observation) -> tuple[int, int, int]:
         now = self.version()
         n, put, live = now + 1, self.at.put, self.at.live
         self.at.clean(n)
@@ -226,24 +241,25 @@ class Store:
         if upserts is not None:
             files = file_table(last_by(upserts, ["path"], order or ["content"]), old.select("id", "path")).join(gone, "path", "left_anti")
             same = old.select("path", "hash").join(small(files.select("path")), "path", "left_semi")
-            fresh = files.join(same, ["path", "hash"], "left_anti")
+            fresh = files.observe(seen, F.count(F.lit(1)).alias("n")).join(same, ["path", "hash"], "left_anti")
         fresh = put(n, "files", fresh)
         gone = gone.unionByName(fresh.select("path")).distinct()
-        lost = written(old.join(small(gone), "path", "left_semi").select("id", "born"))
-        if fresh.isEmpty() and lost.isEmpty():
+        lost = written(old.join(small(gone), "path", "left_semi").select("id", "born", "path"))
+        if not self.at.added(n, "files") and not rows_of(lost):
             self.at.clean(n)
-            return now
+            return now, 0, 0
+        deleted = lost.join(small(fresh.select("path")), "path", "left_anti").count()
         put(n, "files", None, lost)
         facts = put(n, "facts", extract.extract(fresh.filter("lang is not null")))
-        self._derive(n, fresh, facts, lost.select(F.col("id").alias("file_id"), "born"))
-        self.at.commit(n)
-        return self.at.merge() if self.at.due() else n
+        self._derive(n, fresh, facts, lost)
+        indexed = self.at.commit(n)["files"]["added"]
+        return self.at.merge() if self.at.due() else n, indexed, deleted
 
-    def _derive(self, n: int, fresh: DataFrame, facts: DataFrame, lost: DataFrame) -> None:
-        """What hangs on changed files (fresh(id, ...) with their facts, and lost(file_id, born) of versions that went)."""
+    def _derive(self, n: int, fresh: DataFrame, facts: DataFrame, gone: DataFrame) -> None:
+        """What hangs on changed files (fresh(id, ...) with their facts, and gone(id, born) of versions that went)."""
         put, live = self.at.put, self.at.live
-        of_lost = lost.select("file_id", "born")
-        lost = small(lost.select("file_id"))
+        of_lost = gone.select(F.col("id").alias("file_id"), "born")
+        lost = small(of_lost.select("file_id"), gone)
         ended = lambda name: live(name).join(lost, "file_id", "left_semi")
         kept = lambda name: live(name).join(lost, "file_id", "left_anti")
         meta = fresh.select("id", "path", "lang", "mtime", "hash")
@@ -263,33 +279,33 @@ class Store:
         others = kept("calls").filter("caller_id is not null")
         all_imports = kept("imports").unionByName(imports)
         through = requalified.join(all_imports.select("module", "file_id").distinct(), "module").select("file_id", "callee_name").distinct()
-        by_name = others.join(small(moved.withColumnRenamed("name", "callee_name")), "callee_name", "left_semi")
+        by_name = others.join(small(moved.withColumnRenamed("name", "callee_name"), moved), "callee_name", "left_semi")
         by_module = others.join(small(through), ["file_id", "callee_name"], "left_semi")
         call = ["file_id", "line", "pos", "callee_name", "caller_id"]
         again = written(by_name.unionByName(by_module).select(*call, "callee_id", "born").distinct())
         todo = written(own.unionByName(again.select(*call)))
-        wanted = small(todo.select(F.col("callee_name").alias("name")).distinct())
-        callers = small(todo.select(F.col("caller_id").alias("id")).distinct())
+        wanted = small(todo.select(F.col("callee_name").alias("name")).distinct(), todo)
+        callers = small(todo.select(F.col("caller_id").alias("id")).distinct(), todo)
         targets = every.join(wanted, "name", "left_semi")
         targets = written(targets.unionByName(every.join(wanted, "name", "left_anti").join(callers, "id", "left_semi")))
         paths = live("files").join(lost.withColumnRenamed("file_id", "id"), "id", "left_anti").select("id", "path").unionByName(meta.select("id", "path"))
-        paths = paths.join(small(targets.select(F.col("file_id").alias("id")).distinct()), "id", "left_semi")
-        near = all_imports.join(small(todo.select("file_id").distinct()), "file_id", "left_semi")
+        paths = paths.join(small(targets.select(F.col("file_id").alias("id")).distinct(), targets), "id", "left_semi")
+        near = all_imports.join(small(todo.select("file_id").distinct(), todo), "file_id", "left_semi")
         found = resolve.resolve_callees(todo.filter("caller_id is not null"), targets, near, paths, keep=("file_id",))
         outside = todo.filter("caller_id is null").select(*call).selectExpr("*", "cast(null as long) callee_id", "cast(null as string) resolved_name", "cast(null as string) callee_file")
         dead_calls = written(ended("calls").select(*call, "callee_id", "born").unionByName(again.select(*call, "callee_id", "born")))
         calls = put(n, "calls", found.select(*call, "callee_id", "resolved_name", "callee_file").unionByName(outside), dead_calls)
 
         # names likewise
-        stale = kept("names").join(small(moved), "name", "left_semi")
+        stale = kept("names").join(small(moved, moved), "name", "left_semi")
         tokens = file_tokens(facts, symbols).unionByName(stale.select("file_id", "line", "name"))
         tokens = written(tokens)
-        known = every.join(small(tokens.select("name").distinct()), "name", "left_semi")
+        known = every.join(small(tokens.select("name").distinct(), tokens), "name", "left_semi")
         put(n, "names", resolve.references_near(tokens, known, every=True), ended("names").unionByName(stale))
         if self.with_closure:
             pairs = lambda rows: rows.filter("callee_id is not null and caller_id is not null").select("callee_id", "caller_id")
             one = ["callee_id", "caller_id"]
-            left = live("calls").join(small(dead_calls.select("file_id", "line", "pos", "born")), ["file_id", "line", "pos", "born"], "left_anti")
+            left = live("calls").join(small(dead_calls.select("file_id", "line", "pos", "born"), dead_calls), ["file_id", "line", "pos", "born"], "left_anti")
             after = pairs(left).unionByName(pairs(calls))
             went, came = written(pairs(dead_calls).distinct()), written(pairs(calls).distinct())
             removed = went.join(after.join(small(went), one, "left_semi"), one, "left_anti")

@@ -7,14 +7,7 @@ import json
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table of keys that is broadcast at most; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table of keys for broadcast if a count shows that it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from tarnwell.sources.store import BROADCAST_ROWS
 
 class Segments:
     """Named tables (schema and key columns each) below a folder.
@@ -96,6 +89,10 @@ class Segments:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/{path}")
         self._sizes[path] = seen.get.get("n", 0)
 
+    def added(self, version: int, name: str) -> int:
+        """Rows that were put for a version that is not committed yet."""
+        return self._sizes.get(f"{name}/rows-{version}", 0)
+
     def commit(self, version: int, merged: bool = False) -> dict:
         """Makes what was put for a version count; merged: instead of all that was there before."""
         before, out = self.mark(version - 1), {}

@@ -1,4 +1,4 @@
-"""Streams: the newest version of each path, index maintenance from a change log, log tails."""
+"""Streams: the newest version of each path in a batch, index maintenance from a change log, log tails, progress."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tarnwell.sources.ingest import Store
 
@@ -29,12 +30,13 @@ def settle(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last.filter("op <> 'deleted'").select("path", "content"), last.filter("op = 'deleted'").select("path")
 
 
-def maintain(spark: SparkSession, source: str, store: str, checkpoint: str, after: Callable[[int], None] | None = None):
+def maintain(spark: SparkSession, source: str, store: str, checkpoint: str, after: Callable[[int], None] | None = None, on_event: Callable[[dict], None] | None = None):
     """A stream over a folder of change files (Parquet, schema CHANGE) that keeps a Store up to date, batch by batch.
 
-    A batch that is run again after a failure gives the same files and facts, as contents are compared by hash.
+    A batch that is run again after a failure gives the same files and facts, as contents are compared by hash. on_event gets
+    what Store tells of each batch.
     """
-    at = Store(spark, store)
+    at = Store(spark, store, on_event=on_event)
 
     def batch(df: DataFrame, _: int) -> None:
         df = df.persist()
@@ -44,25 +46,9 @@ def maintain(spark: SparkSession, source: str, store: str, checkpoint: str, afte
                 after(version)
         df.unpersist()
 
-    return spark.readStream.schema(CHANGE).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stream_latest(spark: SparkSession, source: DataFrame, key: str, order: tuple[str, ...], path: str):
-    """A table of the newest row of each key, kept by batches: batch n reads path/v<n-1> and writes path/v<n>, so one that
-    is run again gives the same, and nothing is held by the driver."""
-
-    def batch(df: DataFrame, n: int) -> None:
-        if n:
-            df = df.unionByName(spark.read.schema(source.schema).parquet(f"{path}/v{n - 1}"))
-        latest(df, key, order).write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-
-
-def newest_version(run, spark: SparkSession, path: str) -> DataFrame:
-    """The table that stream_latest() has written last, once its run has ended."""
-    run.awaitTermination()
-    return spark.read.parquet(f"{path}/v{run.lastProgress['batchId']}")
+    rows = spark.readStream.schema(CHANGE).parquet(source)
+    rows = rows.observe("changes", F.count(F.lit(1)).alias("changes"), F.count_if(F.col("op") == "deleted").alias("deletes"), F.count_if(F.col("op") == "moved").alias("moves"))
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tail(rows: DataFrame, order: str = "ts", n: int = TAIL) -> DataFrame:
@@ -73,3 +59,24 @@ def tail(rows: DataFrame, order: str = "ts", n: int = TAIL) -> DataFrame:
 def progress(query) -> list[dict]:
     """What a stream has done: batches, rows and rates."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")} for p in query.recentProgress]
+
+
+class Events(StreamingQueryListener):
+    """Tells of streams as they run: start, progress (rows, and the numbers that the stream observes), done or error."""
+
+    def __init__(self, on_event: Callable[[dict], None]):
+        self.on_event = on_event
+
+    def onQueryStarted(self, event):
+        self.on_event({"event": "start", "run": str(event.runId)})
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        seen = {k: v for row in p.observedMetrics.values() for k, v in row.asDict().items()}
+        self.on_event({"event": "progress", "run": str(p.runId), "batch": p.batchId, "rows": p.numInputRows, **seen})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.on_event({"event": "error", "run": str(event.runId), "message": event.exception[:500]} if event.exception else {"event": "done", "run": str(event.runId)})

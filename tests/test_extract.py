@@ -5,7 +5,7 @@ import pytest
 from tarnwell.functions import blocks, extract
 from tarnwell.operators import audit, deps, graph, symbols, textsearch
 from tarnwell.plans.index import CodeIndex
-from tarnwell.sources import ingest, scan
+from tarnwell.sources import ingest, scan, tree
 
 HELLO = "def hello_world():\n    print('Hello World')\n\nclass MyClass:\n    def method(self):\n        pass\n"
 PAYMENT = "def validate_card():\n    return True\n\ndef charge_customer():\n    validate_card()\n    return 'success'\n"
@@ -159,7 +159,8 @@ def test_scan_tree(spark, tmp_path):
     for path, text in (("src/a.py", "x = 1\n"), ("src/b.RS", "fn f() {}\n"), ("node_modules/c.js", ""), ("readme.md", "")):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
-    assert {(r.path, r.lang) for r in scan.scan_tree(spark, str(tmp_path)).collect()} == {("src/a.py", "python"), ("src/b.RS", "rust")}
+    for f in (scan.scan_tree, tree.scan):
+        assert {(r.path, r.lang) for r in f(spark, str(tmp_path)).collect()} == {("src/a.py", "python"), ("src/b.RS", "rust")}
     files = spark.createDataFrame([("src/b/x.py", "python"), ("src/a.py", "python"), ("Readme.md", None), ("pom.xml", None), ("src/b/__init__.py", "python")], "path string, lang string")
     assert [r.path for r in scan.tree(files).collect()] == ["src", "src/b", "src/b/__init__.py", "src/b/x.py", "src/a.py", "pom.xml", "Readme.md"]
     assert scan.detect_stack(files).first().stack == "java-maven"

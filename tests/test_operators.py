@@ -152,7 +152,3 @@ def test_embeddings(spark):
     near = vector.semantic(vectors, index.symbols, index.files, embed.encode("read file load"), 1).first()
     assert near.name == "load_file"
     assert embed.embed_symbols(index, vectors).count() == 0 and vector.similar(vectors, index.symbols, index.files, "add").first().name == "load_file"
-    state = embed.EmbeddingStatus()
-    assert state.update(enabled=True)["enabled"]
-    with pytest.raises(ValueError):
-        state.update(x=1)

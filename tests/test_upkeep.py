@@ -62,17 +62,6 @@ def test_only_a_local_session_may_choose_its_folder(spark):
     assert store.shared_dir(Session()) == "/shared"
 
 
-def test_a_stream_keeps_the_newest_rows_in_a_table(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(r, "k int, at int, v string").coalesce(1)
-    rows((1, 1, "a"), (2, 5, "b")).write.parquet(str(tmp_path / "in"))
-    source = lambda: spark.readStream.schema("k int, at int, v string").parquet(str(tmp_path / "in"))
-    path = str(tmp_path / "out")
-    changes.newest_version(changes.stream_latest(spark, source(), "k", ("at",), path), spark, path)
-    rows((1, 2, "c"), (2, 4, "d"), (3, 1, "e")).write.mode("append").parquet(str(tmp_path / "in"))
-    got = changes.newest_version(changes.stream_latest(spark, source(), "k", ("at",), path), spark, path)
-    assert {(r.k, r.v) for r in got.collect()} == {(1, "c"), (2, "b"), (3, "e")}
-
-
 REFUSED = (
     "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT upper(java_method('java.lang.System', 'getProperty', 'user.dir'))", "SELECT * FROM text.`/etc/hostname`",
     "SELECT * FROM tw_door WHERE EXISTS (SELECT 1 FROM text.`/etc/hostname`)", "WITH a AS (SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir') AS x) SELECT * FROM a",
