@@ -36,7 +36,7 @@ def parse_blocks(source: str, path: str | None = None, lang: str | None = None)
     if lang == "python":
         try:
             return list(_python_blocks(source))
-        except SyntaxError:
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             return [Block("other", None, source)]
     return list(_brace_blocks(source, lang))
 

@@ -24,12 +24,44 @@ def _target(node: ast.expr) -> str | None:
     return node.attr if isinstance(node, ast.Attribute) else None
 
 
-def python_facts(source: str) -> Iterator[tuple]:
-    """Facts of a Python source; one that doesn't parse has none."""
+#: Errors in a source that are looked past at most; facts in a batch of rows.
+ERRORS, FACTS = 20, 50_000
+
+
+def parsed(source: str) -> tuple[ast.Module, list[tuple[int, str]]]:
+    """(syntax tree of a Python source, errors as line and message). Of a source that doesn't parse the statements before
+    the one with the error are taken; one that is nested too deeply for the parser has none."""
+    errors: list[tuple[int, str]] = []
+    while len(errors) < ERRORS:
+        try:
+            return ast.parse(source), errors
+        except SyntaxError as e:
+            errors.append((e.lineno or 1, e.msg))
+            lines = source.split("\n")
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            # back to where the statement with the error begins, or its decorators
+            while at > 0 and (not lines[at].strip() or lines[at][:1] in " \t)]}#" or lines[at - 1].startswith("@")):
+                at -= 1
+            source = "\n".join(lines[:at])
+        except (ValueError, RecursionError, MemoryError) as e:
+            errors.append((1, f"{type(e).__name__}: {e}"[:200]))
+            break
+    return ast.Module([], []), errors
+
+
+def _unparse(node: ast.expr) -> str:
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return
+        return ast.unparse(node)
+    except RecursionError:
+        return "..."
+
+
+def python_facts(source: str) -> Iterator[tuple]:
+    """Facts of a Python source, and an `error` with line and message for each place that doesn't parse (the first is in the
+    source as it is, the others in what stands before it)."""
+    tree, errors = parsed(source)
+    for line, message in errors[:1]:
+        yield _row("error", "", line, detail=message)
     imports: set[int] = set()
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -44,9 +76,9 @@ def python_facts(source: str) -> Iterator[tuple]:
                 every = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, (node.args.vararg, node.args.kwarg))]
                 for a in every:
                     if a.annotation is not None:
-                        yield _row("hint", node.name, node.lineno, detail=f"{a.arg}\x01{ast.unparse(a.annotation)}")
+                        yield _row("hint", node.name, node.lineno, detail=f"{a.arg}\x01{_unparse(a.annotation)}")
                 if node.returns is not None:
-                    yield _row("hint", node.name, node.lineno, detail=f"\x01{ast.unparse(node.returns)}", flag=True)
+                    yield _row("hint", node.name, node.lineno, detail=f"\x01{_unparse(node.returns)}", flag=True)
         elif isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(node.value, ast.Lambda):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
             yield from (_row("symbol", t.id, node.lineno, node.end_lineno, "function") for t in targets if isinstance(t, ast.Name))
@@ -200,12 +232,18 @@ def facts(source: str, lang: str | None) -> list[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files(id, lang, content) -> facts: each file is parsed once, by Arrow batches, and files don't meet."""
+    """files(id, lang, content) -> facts: each file is parsed once, by Arrow batches, and files don't meet. Facts go on as soon
+    as there are FACTS of them, whatever the batch holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["file_id", "fact", "name", "kind", "line_start", "line_end", "detail", "level", "flag"]
         for pdf in batches:
-            rows = [(i, *r) for i, lang, text in zip(pdf.id, pdf.lang, pdf.content) for r in facts(text or "", lang)]
+            rows: list[tuple] = []
+            for i, lang, text in zip(pdf.id, pdf.lang, pdf.content):
+                rows += [(i, *r) for r in facts(text or "", lang)]
+                if len(rows) >= FACTS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("id", "lang", "content").mapInPandas(run, FACT)
@@ -214,10 +252,7 @@ def extract(files: DataFrame) -> DataFrame:
 def raw_imports(source: str, lang: str) -> list[str]:
     """The import statements of a source as text."""
     if lang == "python":
-        try:
-            tree = ast.parse(source)
-        except SyntaxError:
-            return []
+        tree, _ = parsed(source)
         return [ast.get_source_segment(source, n) for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom))]
     lines = {r[3] for r in facts(source, lang) if r[0] == "import"}
     return [x.strip() for i, x in enumerate(source.split("\n"), 1) if i in lines]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tarnwell.sources.scan import LANGUAGE_ALIASES, SEARCH_SKIP, in_skipped
+from tarnwell.sources.store import BROADCAST_ROWS
 
 PER_FILE = 20
 
@@ -35,16 +36,27 @@ def search_code(lines: DataFrame, files: DataFrame, query: str, *, lang: str | N
         files = files.filter(F.col("lang") == LANGUAGE_ALIASES[lang.lower()])
     if "\n" in query:
         return search_multiline(lines, files, query, limit, regex)
-    within = lines.join(files, "file_id")
-    if context:
-        order = W.partitionBy("file_id").orderBy("line_no")
-        gather = lambda a, b: F.collect_list("text").over(order.rowsBetween(a, b))
-        within = within.withColumns({"before": gather(-context, -1), "after": gather(1, context)})
     match, col = _hit(query, regex)
     place = F.row_number().over(W.partitionBy("file_id").orderBy("line_no"))
-    found = within.filter(match).withColumn("place", place).filter(F.col("place") <= min(limit, PER_FILE))
+    found = lines.filter(match).join(files, "file_id").withColumn("place", place).filter(F.col("place") <= min(limit, PER_FILE))
+    found = found.orderBy("file", "line_no").limit(limit).select("file_id", "file", "line_no", col.alias("col"), F.rtrim("text").alias("text"))
     extra = ["before", "after"] if context else []
-    return found.orderBy("file", "line_no").limit(limit).select("file", F.col("line_no").alias("line"), col.alias("col"), F.rtrim("text").alias("text"), *extra)
+    if context:
+        found = with_context(found, lines, context, limit * 2 * context)
+    return found.orderBy("file", "line_no").select("file", F.col("line_no").alias("line"), "col", "text", *extra)
+
+
+def with_context(found: DataFrame, lines: DataFrame, context: int, most: int) -> DataFrame:
+    """found(file_id, line_no, ...) with before and after, the lines around each: numbers of lines that are wanted meet the
+    lines by file and number, so only those are gathered. most: bounds how many."""
+    near = F.explode(F.sequence(F.col("line_no") - context, F.col("line_no") + context))
+    wanted = found.select("file_id", "line_no", near.alias("near")).filter("near <> line_no")
+    wanted = F.broadcast(wanted) if most <= BROADCAST_ROWS else wanted
+    around = lines.select("file_id", F.col("line_no").alias("near"), F.col("text").alias("line")).join(wanted, ["file_id", "near"])
+    around = around.groupBy("file_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("near", "line"))).alias("around"))
+    side = lambda keep: F.coalesce(F.transform(F.filter("around", keep), lambda x: x["line"]), F.array().cast("array<string>"))
+    out = found.join(around, ["file_id", "line_no"], "left")
+    return out.withColumns({"before": side(lambda x: x["near"] < F.col("line_no")), "after": side(lambda x: x["near"] > F.col("line_no"))}).drop("around")
 
 
 def search_multiline(lines: DataFrame, files: DataFrame, query: str, limit: int, regex: bool = False) -> DataFrame:
@@ -66,13 +78,11 @@ def grep_file(lines: DataFrame, files: DataFrame, path: str, pattern: str, conte
     except re.error as e:
         raise ValueError(f"not a regular expression: {e}") from e
     one = files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))
-    order = W.partitionBy("file_id").orderBy("line_no")
-    gather = lambda a, b: F.collect_list("text").over(order.rowsBetween(a, b))
     own = lines.join(F.broadcast(one), "file_id")
-    if context:
-        own = own.withColumns({"before": gather(-context, -1), "after": gather(1, context)})
     match, col = _hit(pattern, True)
-    return own.filter(match).orderBy("line_no").select(F.col("line_no").alias("line"), col.alias("col"), "text", *(["before", "after"] if context else []))
+    found = own.filter(match).select("file_id", "line_no", col.alias("col"), "text")
+    found = with_context(found, own, context, BROADCAST_ROWS + 1) if context else found
+    return found.orderBy("line_no").select(F.col("line_no").alias("line"), "col", "text", *(["before", "after"] if context else []))
 
 
 def find_file(files: DataFrame, pattern: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_python_symbols():
     rows = [(r[1], r[2], r[3], r[4]) for r in extract.facts(HELLO, "python") if r[0] == "symbol"]
     assert sorted(rows) == [("MyClass", "class", 4, 6), ("hello_world", "function", 1, 2), ("method", "function", 5, 6)]
     assert found("square = lambda x: x * x\ngreet = lambda n: n\ndef normal_func():\n    pass\n", "python") == {("square", "function"), ("greet", "function"), ("normal_func", "function")}
-    assert extract.facts("def broken(:", "python") == [] and extract.facts("x", None) == []
+    assert [r for r in extract.facts("def broken(:", "python") == [] and extract.facts("x", None) if r[0] != "error"] == []
 
 
 def test_brace_symbols():
@@ -195,3 +195,17 @@ def test_error_context_and_original(index):
     assert (best.path, best.source) == ("payment.py", "def validate_card():\n    return True")
     with pytest.raises(ValueError):
         context.detect_original(index, "1 + 1")
+
+
+def test_sources_that_do_not_parse_keep_what_stands_before():
+    names = lambda text: [r[1] for r in extract.facts(text, "python") if r[0] == "symbol"]
+    errors = lambda text: [r[3] for r in extract.facts(text, "python") if r[0] == "error"]
+    good = "@deco\ndef f(): return 1\n\n\nclass A:\n    def g(self):\n        pass\n"
+    assert names(good + "print 'x'\n") == ["f", "A", "g"] and errors(good + "print 'x'\n") == [8] and errors(good) == []
+    assert names("def f(): return 1\n@deco\ndef g(x:\n    return 1\n") == ["f"]
+    assert names("def f(): return 1\nclass B:\n    def g(self):\n        print 'x'\n    def h(self): pass\n") == ["f"]
+    assert names("print 'x'\ndef f(): pass\n") == [] and errors("print 'x'\n") == [1]
+    assert errors("x = " + "-" * 50_000 + "1") == [1] and errors("\0") == [1]
+    assert extract.raw_imports("import os\nimport sys\nprint 'x'\n", "python") == ["import os", "import sys"]
+    text = "\r\n".join(["async def ü(a, /, *b: int, c=')'):", "\tif a: {", "\t\t'}': 1}", "\tdef inner(): pass", "", "class É(dict): x = lambda s: '#'"])
+    assert names(text) == ["ü", "É", "inner"]
