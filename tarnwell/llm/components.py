@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import BROADCAST_ROWS, discard, materialize, small
+from tarnwell.llm.common import BROADCAST_ROWS, counted, discard, rows_of, small, thin
 
 
-def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """rows: bounds the edges."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    hung = both.join(F.broadcast(low) if few else low, "a")
+    low = thin(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), 2 * rows)
+    hung = both.join(F.broadcast(low) if 2 * rows <= BROADCAST_ROWS else low, "a")
     if large:
         return hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    return thin(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), 2 * rows)
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether each node hangs on one other and nothing hangs on it, or the other way round: stars, and so components."""
     nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("bears"))
     nodes = nodes.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("bears")))
-    each = nodes.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("bears").alias("bears"))
+    each = thin(nodes.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("bears").alias("bears")), 2 * rows_of(edges))
     return each.filter("hangs + bears > 1").isEmpty()
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+def _stars(links: DataFrame, rows: int) -> DataFrame:
+    edges = counted(thin(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), rows))
     while not _settled(edges):
-        few = 2 * edges.count() <= BROADCAST_ROWS
-        last, edges = edges, materialize(_star(_star(edges, True, few), False, few))
+        last, edges = edges, counted(_star(_star(edges, True, rows_of(edges)), False, rows_of(edges)))
         discard(last)
     return edges
 
@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, until all are stars. Nodes are of any ordered type. A node's neighbours are only aggregated to a minimum,
     so no group is gathered. The minima are broadcast only if the counted edges bound them.
     """
-    return _rooted(_stars(links))
+    return _rooted(_stars(links, links.count()))
 
 
 def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -56,18 +56,18 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
     Only links between different roots are walked, so a later call costs what it connects, not what is known by then.
     """
-    met, held = links, None
+    met, held, rows = links, None, rows_of(links) if hasattr(links, "_rows") else links.count()
     if roots is not None:
         held = small(roots)
         side = lambda c: held.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         met = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
         met = met.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    stars = _stars(met)
-    new = out = materialize(_rooted(stars))
+    stars = _stars(met, rows)
+    new = out = counted(thin(_rooted(stars), 2 * rows_of(stars)))
     if held is not None:
         moved = small(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
         old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        out = materialize(old.unionByName(new.join(held.select("node"), "node", "left_anti")))
+        out = counted(thin(old.unionByName(new.join(held.select("node"), "node", "left_anti")), rows_of(roots) + rows_of(new)))
         discard(new)
     discard(stars)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tarnwell.llm.common import discard, materialize, release, row_key, small, table
+from tarnwell.llm.common import BROADCAST_ROWS, counted, discard, materialize, release, row_key, rows_of, small, table, thin
 from tarnwell.llm.components import joined
 from tarnwell.llm.hashing import CHUNK, mix, pieces, word_hashes
 
@@ -188,7 +188,7 @@ def _pairs_of_few(listed: DataFrame) -> DataFrame:
     member = lambda i: F.get("m", i)
     two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(member(i).alias("x"), member(j).alias("y")))))
     pairs = listed.filter("token is null").select(F.explode(F.filter(two, lambda p: _near(p["x"], p["y"]))).alias("p"))
-    return materialize(_as_pairs(pairs, "p.x", "p.y").groupBy("a", "b", "least").agg(F.count("*").alias("shared")))
+    return counted(_as_pairs(pairs, "p.x", "p.y").groupBy("a", "b", "least").agg(F.count("*").alias("shared")))
 
 
 def _pairs_with_one(live: DataFrame) -> DataFrame:
@@ -221,23 +221,29 @@ def _pairs_left(live: DataFrame, hubs: DataFrame, shares: DataFrame | None, bloc
     return _as_pairs(drawn.select(F.col("l.m").alias("x"), F.col("r.m").alias("y"), F.size(mine).alias("more")), "x", "y", "more")
 
 
+def _ends(pairs: DataFrame, values: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """pairs(a, b), counted, with a_<name> and b_<name> from values(node, name, ...): each end's values go to its pairs, and
+    a pair's two ends meet there, in one shuffle."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    met = values.join(F.broadcast(ends) if 2 * rows_of(pairs) <= BROADCAST_ROWS else ends, "node")
+    held = F.struct(*names)
+    side = lambda c: F.max_by(F.when(F.col("node") == F.col(c), held), F.when(F.col("node") == F.col(c), F.lit(1))).alias(f"{c}_end")
+    both = met.groupBy("a", "b").agg(side("a"), side("b"))
+    return both.select("a", "b", *[F.col(f"{c}_end.{n}").alias(f"{c}_{n}") for c in "ab" for n in names])
+
+
 def _under_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(a, b) that share enough prefix tokens under each of the other orders too: filters meet before texts do."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = sets.select("node", "n", "others").join(small(nodes), "node", "left_semi")
-    side = lambda c: found.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("others").alias(f"{c}_others"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = _ends(pairs, sets, ("n", "others"))
     need = F.floor(F.least("a_n", "b_n") / SLACK)
     common = F.zip_with("a_others", "b_others", lambda x, y: F.size(F.array_intersect(x, y)))
-    return materialize(met.filter(F.forall(common, lambda c: c > need)).select("a", "b"))
+    return counted(thin(met.filter(F.forall(common, lambda c: c > need)).select("a", "b"), rows_of(pairs), 1000))
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, linked, common: pairs verified by their whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = texts.join(small(nodes), "node", "left_semi")
-    side = lambda c: met.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long, linked boolean, common int"))
+    met = thin(_ends(pairs, texts, ("text",)), rows_of(pairs), 200)
+    return counted(met.mapInArrow(_verify, "a long, b long, linked boolean, common int"))
 
 
 def _links(listed: DataFrame, sets: DataFrame, texts: DataFrame, rounds: int, block: int) -> DataFrame | None:
@@ -247,38 +253,44 @@ def _links(listed: DataFrame, sets: DataFrame, texts: DataFrame, rounds: int, bl
     enough = F.col("shared") > F.floor(F.col("least") / SLACK)
     pairs = base.filter(enough).select("a", "b")
     done = roots = hubs = shares = None
-    for turn in range(rounds + 2 if not groups.isEmpty() else 1):
+    n_groups = groups.count()
+    for turn in range(rounds + 2 if n_groups else 1):
         every = live = None
         if turn:
             live = groups.select("token", F.col("m.node").alias("node"), "m")
             live = live.join(small(roots), "node", "left") if roots is not None else live.withColumn("root", F.lit(None).cast("long"))
-            every = live = materialize(live.select("token", "m", F.coalesce("root", "node").alias("root")))
+            every = live = counted(live.select("token", "m", F.coalesce("root", "node").alias("root")))
             # first the members with the fewest tokens of their own, which are nearest to most; then any
             lead = (F.xxhash64("m.node", F.lit(turn)) if turn > 2 else (F.col("m.n") - F.col("m.t")).cast("long") * 2 + F.pmod(F.xxhash64("m.node", F.lit(turn)), F.lit(2))).alias("lead")
             spread = live.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(lead, "m", "root")).alias("one")).filter("low <> high").select("token", "one")
-            live = materialize(live.join(small(spread), "token"))
-            hubs = materialize(spread.select("token", F.col("one.m.node").alias("hub"))) if turn == 1 else hubs
-            if live.isEmpty():
+            spread = counted(thin(spread, n_groups))
+            live = counted(live.join(small(spread), "token"))
+            hubs = counted(spread.select("token", F.col("one.m.node").alias("hub"))) if turn == 1 else hubs
+            discard(spread)
+            if not rows_of(live):
                 discard(every, live)
                 break
             drawn = _pairs_with_one(live) if turn <= rounds else _pairs_left(live, hubs, shares, block)
             both = drawn.join(base.select("a", "b", "shared"), ["a", "b"], "left").withColumn("shared", F.col("more") + F.coalesce("shared", F.lit(0)))
             pairs = both.filter(enough).select("a", "b")
             pairs = pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs
-        pairs = materialize(pairs)
+            # a member gives a pair with the drawn one at most
+            pairs = thin(pairs, rows_of(live)) if turn <= rounds else pairs
+        pairs = counted(pairs)
         discard(every, live)
-        if pairs.isEmpty():
+        if not rows_of(pairs):
             continue
         passed = _under_all_orders(pairs, sets)
         checked = _checked(passed, texts)
         if turn == 1:
             way = lambda x, y: checked.select(F.col(x).alias("node"), F.col(y).alias("hub"), F.col("common").alias("c"))
-            shares = materialize(way("a", "b").unionByName(way("b", "a")))
+            shares = counted(way("a", "b").unionByName(way("b", "a")))
         done = pairs if done is None else done.unionByName(pairs)
-        new = checked.filter("linked").select("a", "b")
-        if not new.isEmpty():
+        new = counted(thin(checked.filter("linked").select("a", "b"), rows_of(checked)))
+        if rows_of(new):
             last, roots = roots, joined(roots, new)
             discard(last)
+        discard(passed, new)
         release(texts.sparkSession)
     return roots
 
