@@ -67,7 +67,7 @@ def counted(df: DataFrame) -> DataFrame:
 
 
 def rows_of(table: DataFrame) -> int:
-    return table._rows
+    return table._rows if hasattr(table, "_rows") else table.count()
 
 
 def thin(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:

@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, until all are stars. Nodes are of any ordered type. A node's neighbours are only aggregated to a minimum,
     so no group is gathered. The minima are broadcast only if the counted edges bound them.
     """
-    return _rooted(_stars(links, links.count()))
+    return _rooted(_stars(links, rows_of(links)))
 
 
 def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
     Only links between different roots are walked, so a later call costs what it connects, not what is known by then.
     """
-    met, held, rows = links, None, rows_of(links) if hasattr(links, "_rows") else links.count()
+    met, held, rows = links, None, rows_of(links)
     if roots is not None:
         held = small(roots)
         side = lambda c: held.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
