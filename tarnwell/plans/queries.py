@@ -496,7 +496,7 @@ def suggestions(i):
 
 
 #: Queries that bench.py times.
-HEADLINE = ("symbol_search_ranked", "grep_regex", "grep_context", "resolve_calls", "callers", "closure_3", "trace_2", "overview_edges", "importers", "unused_symbols", "health", "semantic_topk", "hunk_overlap", "references_last", "levenshtein_rank", "stream_latest")
+HEADLINE = ("symbol_search_ranked", "grep_regex", "grep_context", "resolve_calls", "callers", "closure", "trace", "overview_edges", "importers", "unused_symbols", "health", "semantic_topk", "hunk_overlap", "references_last", "levenshtein_rank", "stream_latest")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
