@@ -16,11 +16,12 @@ class Segments:
     (key and born of the rows that go). A row lives if no batch has buried its key and born. Files are never changed: a
     batch is visible once commits/<n> is there, which names the folders in use, and what a batch that was cut off has left
     is written over. A reader thus sees a whole version, and a change costs what it changes. merge() writes the living rows
-    anew, and the folders that a version before the last used go with the next merge.
+    anew, and the folders that a version before the last used go with the next merge. Tables in `laid` are split by ranges of
+    the named columns and sorted by them, in each batch and merge.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, list[str]]]):
-        self.spark, self.path, self.tables = spark, path.rstrip("/"), tables
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, list[str]]], laid: dict[str, list[str]] | None = None):
+        self.spark, self.path, self.tables, self.laid = spark, path.rstrip("/"), tables, laid or {}
         self._sizes: dict[str, int] = {}
 
     # --- marks
@@ -78,11 +79,15 @@ class Segments:
         schema, key = self.tables[name]
         columns = [f.split(" ", 1)[0] for f in schema.split(", ")]
         if rows is not None:
-            self._write(rows.select(*columns).withColumn("born", F.lit(version)), f"{name}/rows-{version}")
+            self._write(self._lay(name, rows.select(*columns)).withColumn("born", F.lit(version)), f"{name}/rows-{version}")
         if dead is not None:
             self._write(dead.select(*key, "born").distinct(), f"{name}/dead-{version}")
         return self._parquet(f"{schema}, born int", [f"{name}/rows-{version}"] if rows is not None else [])
 
+    def _lay(self, name: str, rows: DataFrame) -> DataFrame:
+        by = self.laid.get(name)
+        return rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows
+
     def _write(self, df: DataFrame, path: str) -> None:
         """Rows are counted while they are written."""
         seen = Observation()
@@ -124,7 +129,7 @@ class Segments:
         kept = {p for v in (now,) for m in self.mark(v).values() for p in (*m["rows"], *m["dead"])}
         self.clean(now + 1)
         for name in self.tables:
-            self._write(self.live(name, now).drop("born").withColumn("born", F.lit(now + 1)), f"{name}/rows-{now + 1}")
+            self._write(self._lay(name, self.live(name, now).drop("born")).withColumn("born", F.lit(now + 1)), f"{name}/rows-{now + 1}")
         self.commit(now + 1, merged=True)
         for name in self.tables:
             at, fs = self._at(name)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tarnwell.plans import changing, queries, rendered  # noqa: F401
+from tarnwell.plans import changing, queries, rendered, searching  # noqa: F401
 
 TABLES = "part supplier events documents embeddings pages benchmark labels conversations".split()
 
