@@ -89,10 +89,26 @@ def _leaves(tree: tuple) -> list[str]:
     return list(dict.fromkeys(g for part in tree[1:] for g in ([part] if isinstance(part, str) else _leaves(part))))
 
 
+def _asked(tree: tuple, most: int) -> tuple:
+    """A tree of at most so many pieces that holds wherever the given one does: long ways ask for fewer of theirs. ("and",)
+    if there are more ways than that."""
+
+    def cut(tree: tuple, own: int) -> tuple:
+        return (tree[0], *[p for p in tree[1:] if isinstance(p, str)][:own], *[cut(p, own) for p in tree[1:] if not isinstance(p, str)])
+
+    own = most
+    while own:
+        less = cut(tree, own)
+        if len(_leaves(less)) <= most:
+            return less
+        own //= 2
+    return ("and",)
+
+
 def _holds(tree: tuple, bits: dict[str, int], has: Column) -> Column:
-    """Whether the bits of what a file has satisfy a tree; pieces without a bit count as there."""
+    """Whether the bits of what a file has satisfy a tree."""
     parts = [_holds(p, bits, has) for p in tree[1:] if not isinstance(p, str)]
-    own = [bits.get(p, 0) for p in tree[1:] if isinstance(p, str)]
+    own = [bits[p] for p in tree[1:] if isinstance(p, str)]
     if tree[0] == "and":
         mask = reduce(int.__or__, own, 0)
         return reduce(Column.__and__, parts, has.bitwiseAND(F.lit(mask).cast("long")) == mask)
@@ -138,8 +154,8 @@ class SearchIndex:
 
     def candidates(self, query: str, regex: bool = False) -> DataFrame | None:
         """file_id of the files that hold what the query needs; None if it needs nothing that is indexed."""
-        tree = needed(query, regex)
-        asked = _leaves(tree)[:MOST_GRAMS]
+        tree = _asked(needed(query, regex), MOST_GRAMS)
+        asked = _leaves(tree)
         if not asked:
             return None
         bits = {g: 1 << k for k, g in enumerate(asked)}

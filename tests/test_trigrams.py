@@ -59,7 +59,7 @@ def test_only_files_that_may_match_are_read(index, tables):
     plan = index.lines_for("needle")._jdf.queryExecution().executedPlan().toString()
     assert "file_id,5)" in plan.split("PushedFilters")[1] and "Join" not in plan
     plan = index.candidates("foobar")._jdf.queryExecution().executedPlan().toString()
-    assert "In(gram, [foo,oob,oba,bar])" in plan.split("PushedFilters")[1]
+    assert "In(gram, [bar,foo,oba,oob])" in plan.split("PushedFilters")[1]
 
 
 def test_many_candidates_and_long_queries(index, tables, monkeypatch):
@@ -67,7 +67,9 @@ def test_many_candidates_and_long_queries(index, tables, monkeypatch):
     monkeypatch.setattr(trigrams, "MOST_FILES", 1)
     assert rows(index.search(files, "foobar")) == rows(textsearch.search_code(lines, files, "foobar"))
     monkeypatch.setattr(trigrams, "MOST_GRAMS", 2)
-    for p in ("(foobar|bazqux)", "needle(y|z)"):
+    assert len(trigrams._leaves(trigrams._asked(trigrams.needed("(foobar|bazqux)", True), 2))) == 2
+    assert index.candidates("(foo|bar|baz)", regex=True) is None  # more ways than pieces
+    for p in ("(foobar|bazqux)", "needle(y|z)", "(foo|bar|baz)"):
         assert rows(index.search(files, p, regex=True)) == rows(textsearch.search_code(lines, files, p, regex=True)) != []
 
 
