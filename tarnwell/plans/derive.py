@@ -6,13 +6,18 @@ period is a call, links of pages are imports, and events are commits.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tarnwell.operators import history, resolve
-from tarnwell.plans.index import CodeIndex
+from tarnwell.plans.index import SCHEMAS, CodeIndex
 from tarnwell.plans.schema import PER_FILE
+from tarnwell.sources.store import shared_dir
 
 EXTENSIONS = {"en": "py", "fr": "java", "de": "js"}
 
@@ -70,23 +75,94 @@ def hunks(events: DataFrame, files: DataFrame) -> DataFrame:
     return out.join(files.select(F.col("id").alias("f_id"), "path"), F.col("file_id") == F.col("f_id")).drop("f_id")
 
 
+class Derived(CodeIndex):
+    """The index of the tables in a folder. A relation is made when it is first asked for; those that take joins are written
+    to the shared folder then, once for all queries of an application, as long as the tables' files are the same."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir, self._states = spark, sf_dir, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        """A relation that is not there yet."""
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        make, sources = RELATIONS.get(name, (None, ()))
+        if make is None:
+            out = self._spark.createDataFrame([], SCHEMAS[name])
+        else:
+            out = self._at_rest(name, make, sources) if sources else make(self)
+        setattr(self, name, out)
+        return out
+
+    def read(self, table: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{table}.parquet")
+
+    def docs(self) -> DataFrame:
+        return self.read("documents").select("doc_id", "text", "lang", "source")
+
+    def _at(self, path: str):
+        at = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self._spark._jsc.hadoopConfiguration())
+
+    def _state(self, table: str) -> str:
+        """Names, sizes and times of a table's files."""
+        if table not in self._states:
+            at, fs = self._at(f"{self._dir}/{table}.parquet")
+            found = [fs.getFileStatus(at), *fs.listStatus(at)]
+            self._states[table] = " ".join(sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in found))
+        return self._states[table]
+
+    def _at_rest(self, name: str, make: Callable[[Derived], DataFrame], sources: tuple[str, ...]) -> DataFrame:
+        spark = self._spark
+        key = hashlib.md5("\n".join([spark.sparkContext.applicationId, *map(self._state, sources)]).encode()).hexdigest()
+        folder = f"{shared_dir(spark)}/derived-{key}"
+        (path, fs), (tmp, _) = self._at(f"{folder}/{name}"), self._at(f"{folder}/.{name}-{uuid.uuid4().hex}")
+        if not fs.exists(path):
+            df = make(self)
+            df.write.parquet(str(tmp))
+            if fs.exists(path) or not fs.rename(tmp, path):  # another query was first
+                fs.delete(tmp, True)
+        return spark.read.parquet(str(path))
+
+
+def _tokens(i: Derived) -> DataFrame:
+    out = i.lines.select("file_id", F.col("line_no").alias("line"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("pos", "name"))
+    return out.select("file_id", "line", "pos", F.lower("name").alias("name"))
+
+
+def _vectors(i: Derived) -> DataFrame:
+    return i.read("embeddings").select((F.col("vec_id") * PER_FILE + 1).alias("symbol_id"), "embedding", F.concat(F.lit("label"), F.col("label").cast("string")).alias("model"))
+
+
+def _docstrings(i: Derived) -> DataFrame:
+    first = i.lines.select(F.col("file_id").alias("l_file"), "line_no", "text")
+    own = i.symbols.filter("kind = 'function'").join(first, (F.col("file_id") == F.col("l_file")) & (F.col("line_start") == F.col("line_no")))
+    return own.select(F.col("id").alias("symbol_id"), F.col("text").alias("content"), "line_start", "line_end")
+
+
+def _hints(i: Derived) -> DataFrame:
+    return i.symbols.filter("kind = 'method'").select(F.col("id").alias("symbol_id"), F.concat(F.lit("p"), F.col("line_start").cast("string")).alias("param_name"), F.col("name").alias("annotation"), (F.col("line_start") % 2 == 0).alias("is_return"))
+
+
+#: How a relation is made, and for those that are kept at rest the tables that it is made from.
+RELATIONS: dict[str, tuple[Callable[[Derived], DataFrame], tuple[str, ...]]] = {
+    "files": (lambda i: files(i.docs()), ()),
+    "lines": (lambda i: lines(i.docs()), ()),
+    "symbols": (lambda i: symbols(i.files, i.lines), ("documents",)),
+    "calls": (lambda i: calls(i.lines), ()),
+    "imports": (lambda i: imports(i.read("pages"), i.files), ("documents", "pages")),
+    "call_edges": (lambda i: resolve.resolve_callees(resolve.enclosing_symbol(i.calls, i.symbols), i.symbols, i.imports, i.files), ("documents", "pages")),
+    "embeddings": (_vectors, ()),
+    "name_uses": (lambda i: _tokens(i).select("file_id", "name"), ()),
+    "symbol_references": (lambda i: resolve.references_last(_tokens(i).filter("pos > 0"), i.symbols), ("documents",)),
+    "git_history": (lambda i: history.index_hunks(hunks(i.read("events"), i.files), i.symbols), ()),
+    "docstrings": (_docstrings, ()),
+    "type_hints": (_hints, ()),
+}
+
+
 def derive(spark: SparkSession, sf_dir: str) -> CodeIndex:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    docs = read("documents").select("doc_id", "text", "lang", "source")
-    f, li = files(docs), lines(docs)
-    sy, im, ca = symbols(f, li), imports(read("pages"), f), calls(li)
-    edges = resolve.resolve_callees(resolve.enclosing_symbol(ca, sy), sy, im, f)
-    tokens = li.select("file_id", F.col("line_no").alias("line"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("pos", "name"))
-    tokens = tokens.select("file_id", "line", "pos", F.lower("name").alias("name"))
-    emb = read("embeddings")
-    vectors = emb.select((F.col("vec_id") * PER_FILE + 1).alias("symbol_id"), "embedding", F.concat(F.lit("label"), F.col("label").cast("string")).alias("model"))
-    return CodeIndex.empty(
-        spark, files=f, lines=li, symbols=sy, calls=ca, call_edges=edges, imports=im, embeddings=vectors, name_uses=tokens.select("file_id", "name"),
-        symbol_references=resolve.references_last(tokens.filter("pos > 0"), sy),
-        git_history=history.index_hunks(hunks(read("events"), f), sy),
-        docstrings=sy.filter("kind = 'function'").join(li.select(F.col("file_id").alias("l_file"), "line_no", "text"), (F.col("file_id") == F.col("l_file")) & (F.col("line_start") == F.col("line_no"))).select(F.col("id").alias("symbol_id"), F.col("text").alias("content"), "line_start", "line_end"),
-        type_hints=sy.filter("kind = 'method'").select(F.col("id").alias("symbol_id"), F.concat(F.lit("p"), F.col("line_start").cast("string")).alias("param_name"), F.col("name").alias("annotation"), (F.col("line_start") % 2 == 0).alias("is_return")),
-    )
+    return Derived(spark, sf_dir)
 
 
 #: The derivation in SQL, by relation: each may use those before it.
