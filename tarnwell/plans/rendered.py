@@ -71,9 +71,15 @@ PARTS = "p AS (SELECT p_partkey AS k, p_size AS s, p_size % 4 AS f FROM part)"
 PATHS = "'src/m' || k || '.py'"
 
 
+#: Parts that one task renders and parses: a table of these short rows is read by one task or few, and each becomes a file.
+EACH = 4_000
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, s, id, path, lang, content."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    rows = p.count()
+    p = p.repartition(-(-rows // EACH), "k") if rows > EACH else p
     lines = F.concat(F.array(*map(_filled, LINES[:AT])), F.array_repeat(F.lit(FILL), (F.col("s") % 4).cast("int")), F.array(*map(_filled, LINES[AT:])))
     return p.select("k", "s", F.col("k").cast("long").alias("id"), F.concat(F.lit("src/m"), F.col("k"), F.lit(".py")).alias("path"), F.lit("python").alias("lang"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
 
