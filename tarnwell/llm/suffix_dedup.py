@@ -351,21 +351,30 @@ def _shared_windows(texts: DataFrame, runs: DataFrame, family: Family, measures:
     One copy of each content is cut out of its text. Blocks of windows are compared first: a block that stands elsewhere
     as a whole is settled, one that shares its core with other blocks is compared window by window, and others are alone.
     All counts are of hashes, summed before the shuffle, so that a place with any number of surroundings is spread out.
+    Tables and shuffles of a step are let go of before the next but one, as the disk is fullest here.
     """
+    spark = texts.sparkSession
     lists = materialize(surroundings(runs, family).groupBy("k1", "k2").agg(F.collect_list(F.struct(*ID, "place")).alias("runs")))
     # repeated rows are all cut: what they count for too much stands in several places in truth
     cut = materialize(_of(texts, lists).join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("text", "runs").mapInArrow(_cut(measures), CUT))
+    discard(lists)
+    release(spark)
     blocks = cut.mapInArrow(_blocks(measures), "gram long, whole long, lo int, hi int, core long, hull long")
     hulls = materialize(blocks.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*ID)).alias("one")))
+    release(spark)
     apart = hulls.groupBy("core").agg(F.min("hull").alias("lo"), F.max("hull").alias("hi")).filter("lo <> hi").select("core", F.lit(True).alias("apart"))
     state = hulls.join(apart, "core", "left").filter("n > 1 or apart").withColumnRenamed("core", "c").withColumnRenamed("hull", "h")
     told = materialize(blocks.join(state, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h"))).select(*ID, "lo", "hi", (F.col("n") > 1).alias("twice"), (F.col("apart") & ((F.col("n") == 1) | (F.struct(*ID) == F.col("one")))).alias("apart")))
+    discard(hulls)
+    release(spark)
     spans = told.filter("apart").groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     prints = materialize(cut.join(spans, ID).mapInArrow(_prints(measures), "gram long, whole long, at int, print long"))
+    discard(cut)
+    release(spark)
     often = prints.groupBy("gram", "print").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "print")
     single = prints.join(often, ["gram", "print"]).select(*ID, F.col("at").alias("lo"), F.col("at").alias("hi"))
     out = materialize(told.filter("twice").select(*ID, "lo", "hi").unionByName(single))
-    discard(lists, cut, hulls, told, prints)
+    discard(told, prints)
     return out
 
 
