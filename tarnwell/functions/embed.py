@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import dataclasses
 import hashlib
 import re
 import threading
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,26 +15,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.sources.segments import Segments
+from tarnwell.sources.store import steps, written
 
 MODEL, DIMENSIONS = "hashed-tokens-384", 384
 DOC_LINES, BODY_LINES = 15, 5
 EMBEDDED = ("function", "class", "method")
 
 
-def encode(text: str) -> list[float] | None:
-    """A unit vector of hashed tokens: the same wherever it is computed, without a model file. None for a text without words."""
+@lru_cache(1 << 16)
+def _place(word: str) -> tuple[int, float]:
+    """Where a word counts, and its sign."""
+    h = int.from_bytes(hashlib.blake2b(word.lower().encode(), digest_size=8).digest(), "little")
+    return h % DIMENSIONS, 1.0 if h >> 63 else -1.0
+
+
+def _encoded(text: str | None) -> np.ndarray | None:
     out = np.zeros(DIMENSIONS)
     for w in re.findall(r"[A-Za-z][a-z]+|[A-Z]+|\d+", text or ""):
-        h = int.from_bytes(hashlib.blake2b(w.lower().encode(), digest_size=8).digest(), "little")
-        out[h % DIMENSIONS] += 1.0 if h >> 63 else -1.0
+        at, sign = _place(w)
+        out[at] += sign
     norm = np.linalg.norm(out)
-    return (out / norm).astype(np.float32).tolist() if norm else None
+    return (out / norm).astype(np.float32) if norm else None
+
+
+def encode(text: str) -> list[float] | None:
+    """A unit vector of hashed tokens: the same wherever it is computed, without a model file. None for a text without words."""
+    out = _encoded(text)
+    return None if out is None else out.tolist()
 
 
 def encode_column(text: Column) -> Column:
     @F.pandas_udf("array<float>")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(encode)
+        return x.map(_encoded)
 
     return run(text)
 
@@ -52,10 +65,12 @@ def symbol_texts(index, done: DataFrame | None = None) -> DataFrame:
     if done is not None:
         s = s.join(done.select(F.col("symbol_id").alias("id")), "id", "left_anti")
     li = index.lines.select(F.col("file_id").alias("l_file"), "line_no", "text")
-    near = s.join(li, (F.col("file_id") == F.col("l_file")) & F.col("line_no").between(F.col("line_start"), F.least("line_end", F.col("line_start") + BODY_LINES)))
-    lines = near.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines"))
+    near = s.join(li, (F.col("file_id") == F.col("l_file")) & F.col("line_no").between(F.col("line_start"), F.least("line_end", F.col("line_start") + BODY_LINES)), "left")
+    # by the file too, by which rows are already dealt out
+    kept = F.collect_list(F.when(F.col("line_no").isNotNull(), F.struct("line_no", "text")))
+    lines = near.groupBy("file_id", "id").agg(F.first("kind").alias("kind"), F.first("name").alias("name"), F.transform(F.sort_array(kept), lambda x: x["text"]).alias("lines"))
     docs = index.docstrings.select(F.col("symbol_id").alias("id"), "content").dropDuplicates(["id"])
-    return s.join(lines, "id", "left").join(docs, "id", "left").select(F.col("id").alias("symbol_id"), symbol_text(F.col("kind"), F.col("name"), F.col("content"), F.col("lines")).alias("text"))
+    return lines.join(docs, "id", "left").select(F.col("id").alias("symbol_id"), symbol_text(F.col("kind"), F.col("name"), F.col("content"), F.col("lines")).alias("text"))
 
 
 def embed_symbols(index, done: DataFrame | None = None) -> DataFrame:
@@ -93,7 +108,7 @@ class EmbeddingJob:
 
     def run(self, index, after: Callable[[dict], None] | None = None) -> dict:
         """Makes the vectors that are missing; `after` is told the status after each slice. Vectors of symbols that are gone
-        are taken out first."""
+        are taken out first. The texts of all symbols that lack a vector are put together once, and slices read theirs."""
         if not self.state["enabled"]:
             return self.status()
         self._stopped.clear()
@@ -107,16 +122,18 @@ class EmbeddingJob:
             self.at.clean(n)
             self.at.put(n, "embeddings", None, self.at.live("embeddings").select("symbol_id", "born").join(wanted, "symbol_id", "left_anti"))
             self.at.commit(n)
-            for k in range(self.slices):
-                if self._stopped.is_set():
-                    break
-                n = self.at.version() + 1
-                self.at.clean(n)
-                part = dataclasses.replace(index, symbols=index.symbols.filter(F.pmod(F.xxhash64("id"), F.lit(self.slices)) == k))
-                self.at.put(n, "embeddings", embed_symbols(part, self.vectors()))
-                self.at.commit(n)
-                if after:
-                    after(self.status())
+            with steps(self.spark):
+                texts = written(symbol_texts(index, self.vectors()).withColumn("slice", F.pmod(F.xxhash64("symbol_id"), F.lit(self.slices))))
+                for k in range(self.slices):
+                    if self._stopped.is_set():
+                        break
+                    n = self.at.version() + 1
+                    self.at.clean(n)
+                    part = texts.filter(F.col("slice") == k)
+                    self.at.put(n, "embeddings", part.select("symbol_id", encode_column(F.col("text")).alias("embedding"), F.lit(MODEL).alias("model")))
+                    self.at.commit(n)
+                    if after:
+                        after(self.status())
         except Exception as e:
             if not self._stopped.is_set():  # what stop() cancels is no error
                 self.state["error"] = f"{type(e).__name__}: {e}"[:500]

@@ -236,3 +236,15 @@ def test_an_embedding_run_that_was_stopped_goes_on(spark, tmp_path):
     assert vectors == {r.symbol_id: r.embedding for r in embed.embed_symbols(index).collect()}
     index.symbols = index.symbols.filter(F.col("name") != "name_3")
     assert job.run(index)["done"] == 29
+
+
+def test_embedding_puts_texts_together_once_a_run(spark, tmp_path, monkeypatch):
+    sources = spark.createDataFrame([(f"m{k}.py", f'def f{k}():\n    """Does {k}."""\n    return {k}\n\nclass C{k}: pass\n') for k in range(6)], "path string, content string")
+    index = ingest.build(spark, sources, with_closure=False)
+    made, texts = [], embed.symbol_texts
+    monkeypatch.setattr(embed, "symbol_texts", lambda *a: made.append(a) or texts(*a))
+    job = embed.EmbeddingJob(spark, str(tmp_path / "v"), slices=3)
+    assert job.run(index)["done"] == 12 and len(made) == 1
+    want = {r.symbol_id: embed.encode(r.text) for r in texts(index).collect()}
+    assert {r.symbol_id: r.embedding for r in job.vectors().collect()} == want and len(want) == 12
+    assert {r.text for r in texts(index).collect()} >= {"function f3 Does 3. \"\"\"Does 3.\"\"\" return 3", "class C3"}
