@@ -20,8 +20,10 @@ from tarnwell.llm.hashing import mix, word_hashes
 LENGTH, WORDS = 400, 51
 #: Batches that remove_repeats() deals a table into.
 BATCHES = 4
-#: Symbols handled at once; longer texts are cut into overlapping parts.
-CHUNK = 1 << 20
+#: Symbols handled at once; longer texts are cut into overlapping parts. A worker holds some 150 bytes for each of them.
+CHUNK = 1 << 17
+#: Rows of a batch that are Python objects at once.
+ROWS = 500
 _STEP = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(3).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -169,12 +171,19 @@ def _unpacked(place: Column) -> dict[str, Column]:
     return {"unit": part(0, 1), "lead": part(1, 15), "span": part(16, 15), "first": F.shiftright(place, 31)}
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, so that memory follows one of those."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def _runs(measures: tuple[Measure, ...]):
     """The sampled suffixes of texts, as rows of RUN."""
 
     def run(batches):
         rolls = [Rolling(m) for m in measures]
-        for batch in batches:
+        for batch in _slices(batches):
             k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("text").to_pylist()
             for unit, roll in enumerate(rolls):
                 for symbols, stops, owner in _parts(roll.measure.symbols(texts), roll.measure.length):
@@ -275,7 +284,7 @@ def _cut(measures: tuple[Measure, ...]):
     """The symbols of the runs that are to be compared window by window."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
                 out: dict[str, list] = {c: [] for c in ("gram", "whole", "unit", "lead", "data")}
                 whole = {u: next(iter(measures[u].symbols([text]))) for u in {unit_of(r["place"]) for r in runs}}
@@ -379,7 +388,7 @@ def _shared_windows(texts: DataFrame, runs: DataFrame, family: Family, measures:
 
 
 def _strip(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "repeated_words": [], "kept": []}
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
             raw, at, kept = (text or "").encode(), 0, []

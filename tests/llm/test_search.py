@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_native import EMPTY, ODD, documents
@@ -235,6 +237,20 @@ def test_a_passage_in_many_surroundings(spark):
     assert removed(spark, docs) == stripped(docs, 40, 12)
 
 
+def test_a_worker_holds_a_small_part_of_a_batch():
+    """An executor's memory holds two of these workers beside its JVM."""
+    text = random.Random(6).randbytes(1_000_000).hex()
+    batch = pa.RecordBatch.from_pydict({"k1": range(8000), "k2": pa.array(range(8000), pa.int32()), "text": [text[k * 200 : k * 200 + 1500] + " x" * 100 for k in range(8000)]})
+    measures = (suffix_dedup.Measure("bytes", 400, 64, 16), suffix_dedup.Measure("words", 51, 8, 8))
+    span = [[{"unit": 0, "lo": 9 * k, "hi": 9 * k + 5} for k in range(30)]] * 8000
+    for run, given in ((suffix_dedup._runs(measures), batch), (suffix_dedup._strip, pa.RecordBatch.from_pydict({"doc_id": range(8000), "text": batch.column("text"), "cuts": span}))):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in run([given]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= 8000 and peak < 48 << 20, (run, rows, peak)
+
+
 def test_family_takes_batches_and_opens_again(spark, tmp_path):
     rng = random.Random(9)
     passages = ["".join(rng.choice("abcd ") for _ in range(70)) for _ in range(12)]
