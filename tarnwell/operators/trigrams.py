@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from re import _parser as parser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tarnwell.sources.segments import Segments
 from tarnwell.sources.store import small, steps, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters of lines whose trigrams are taken at once; longer lines are cut into overlapping parts.
+CHUNK = 1 << 20
 #: Pieces that one search asks for at most; a file must hold these, and its lines are matched in any case.
 MOST_GRAMS = 60
 #: Files up to which a search names them to the scan, so that it skips the others' pages; more are joined.
@@ -26,14 +30,56 @@ PUSHED = 10
 DIFFERS = re.compile(r"\\[0-9vQE]|&&|\[\^?\]|\[[^\]]*\[|\(\?[^:=!<>]|\(\?<[^=!]")
 
 
-def folded(text: Column) -> Column:
-    """A-Z in lower case and nothing else, so a piece of a text stays a piece of it."""
-    return F.translate(text, UPPER, LOWER)
-
-
-def grams_of(text: Column) -> Column:
-    """The distinct trigrams of a line."""
-    return F.array_distinct(F.regexp_extract_all(folded(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Files and texts of lines, of about CHUNK characters together."""
+    files, texts, size = [], [], 0
+    for batch in batches:
+        for file, text in zip(batch.column("file_id").to_pylist(), batch.column("text")):
+            text = text.as_py() or ""
+            for k in range(0, max(1, len(text) - 2), CHUNK):
+                files.append(file), texts.append(text[k : k + CHUNK + 2])
+                size += len(texts[-1])
+                if size >= CHUNK:
+                    yield files, texts
+                    files, texts, size = [], [], 0
+    if texts:
+        yield files, texts
+
+
+def _trigrams(files: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """The distinct trigrams of each file's texts, A-Z in lower case and nothing else, by trigram and file."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(points) < 3:
+        return
+    points += 32 * ((points >= ord("A")) & (points <= ord("Z")))
+    seen = np.zeros(points.max() + 1, bool)
+    seen[points] = True
+    letters, (ids, of) = np.flatnonzero(seen), np.unique(np.array(files, np.int64), return_inverse=True)
+    a, f = len(letters), len(ids)
+    if a**3 * f >= 1 << 63:  # one file's always fit
+        half = len(texts) // 2
+        yield from _trigrams(files[:half], texts[:half])
+        yield from _trigrams(files[half:], texts[half:])
+        return
+    place, row = (np.cumsum(seen) - 1)[points], np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    key = ((place[:-2] * a + place[1:-1]) * a + place[2:]) * f + of[row[:-2]]
+    code, file = np.divmod(np.unique(key[row[:-2] == row[2:]]), f)
+    first = np.diff(code, prepend=-1) > 0
+    own = code[first]
+    names = letters[np.stack((own // (a * a), own // a % a, own % a), 1)].astype("<u4").tobytes().decode("utf-32-le")
+    gram = pa.DictionaryArray.from_arrays(pa.array(np.cumsum(first) - 1), pa.array([names[k : k + 3] for k in range(0, len(names), 3)], pa.string()))
+    yield pa.RecordBatch.from_arrays([gram.cast(pa.string()), pa.array(ids[file])], ["gram", "file_id"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for files, texts in _slices(batches):
+        yield from _trigrams(files, texts)
+
+
+def postings(lines: DataFrame) -> DataFrame:
+    """gram, file_id: the trigrams of lines(file_id, text). Lines that come by file give each pair once, but for the few
+    files that two tasks or two slices share; no shuffle gathers them."""
+    return lines.filter("file_id IS NOT NULL").select("file_id", F.make_valid_utf8("text").alias("text")).mapInArrow(_postings, TABLES["grams"][0])
 
 
 def _of_literal(text: str) -> tuple:
@@ -125,14 +171,15 @@ TABLES = {
 class SearchIndex:
     """Lines and trigram postings at rest, kept by change.
 
-    Postings (gram, file) lie by gram, lines by file, each split by ranges of both, so a frequent gram is in many files and a
-    search reads the pages of the grams that it asks for and of the files that may match. A batch writes the lines and
+    Lines lie by file, split by ranges. Postings (gram, file) are made where those lie and sorted by gram there, without a
+    shuffle, so each of their parts has the grams of some files and a search reads the pages of the grams that it asks for
+    from each, and of the files that may match. A batch writes the lines and
     postings of its files and ends those that they had; readers see whole batches. Null texts have no postings and match
     nothing; lines of under three characters are found by patterns that need no trigram, which read all lines.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.at = Segments(spark, path, TABLES, laid={"lines": ["file_id", "line_no"], "grams": ["gram", "file_id"]})
+        self.at = Segments(spark, path, TABLES, laid={"lines": ["file_id", "line_no"]}, within={"grams": ["gram", "file_id"]})
 
     def apply(self, lines: DataFrame | None, gone: DataFrame | None = None) -> int:
         """lines(file_id, line_no, text), whole files in place of what is known of them, and gone(file_id). The new version."""
@@ -146,7 +193,7 @@ class SearchIndex:
             new = self.at.put(n, "files", fresh.select("file_id").distinct())
             ended = new.select("file_id").unionByName(gone).distinct()
             dead = written(before.join(small(ended), "file_id", "left_semi"))
-            self.at.put(n, "grams", fresh.select(F.explode(grams_of(F.col("text"))).alias("gram"), "file_id").distinct())
+            self.at.put(n, "grams", postings(fresh))
             for name in TABLES:
                 self.at.put(n, name, None, dead)
             self.at.commit(n)

@@ -17,11 +17,11 @@ class Segments:
     batch is visible once commits/<n> is there, which names the folders in use, and what a batch that was cut off has left
     is written over. A reader thus sees a whole version, and a change costs what it changes. merge() writes the living rows
     anew, and the folders that a version before the last used go with the next merge. Tables in `laid` are split by ranges of
-    the named columns and sorted by them, in each batch and merge.
+    the named columns and sorted by them, in each batch and merge; those in `within` are sorted by them where their rows are.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, list[str]]], laid: dict[str, list[str]] | None = None):
-        self.spark, self.path, self.tables, self.laid = spark, path.rstrip("/"), tables, laid or {}
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, tuple[str, list[str]]], laid: dict[str, list[str]] | None = None, within: dict[str, list[str]] | None = None):
+        self.spark, self.path, self.tables, self.laid, self.within = spark, path.rstrip("/"), tables, laid or {}, within or {}
         self._sizes: dict[str, int] = {}
 
     # --- marks
@@ -85,8 +85,9 @@ class Segments:
         return self._parquet(f"{schema}, born int", [f"{name}/rows-{version}"] if rows is not None else [])
 
     def _lay(self, name: str, rows: DataFrame) -> DataFrame:
-        by = self.laid.get(name)
-        return rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows
+        by, within = self.laid.get(name), self.within.get(name)
+        rows = rows.repartitionByRange(*by) if by else rows
+        return rows.sortWithinPartitions(*(by or within)) if by or within else rows
 
     def _write(self, df: DataFrame, path: str) -> None:
         """Rows are counted while they are written."""

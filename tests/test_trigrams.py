@@ -1,14 +1,17 @@
 """Search by an index against the same search in all lines."""
 
+import random
 import re
 import sys
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnwell.operators import textsearch, trigrams
+from tarnwell.sources.segments import Segments
 
 TEXTS = {
     1: "def load(x):\n    return foobar(x)\n", 2: "FooBar\nk\n\nfoo bar", 3: "bazqux 12\nbazaar", 4: "straße İstanbul Kelvin 𝒳𝒴𝒵 end", 5: "x" * 50_000 + "needle" + "y" * 50_000, 6: "", 7: None, 8: "a.b*c [d] \\v abab", 9: "foobar\nfoobar",
@@ -93,6 +96,39 @@ def test_kept_by_change(spark, tables, tmp_path):
 TABLE_GRAMS = trigrams.TABLES["grams"][0]
 
 
+def test_postings_are_not_shuffled(tables, spark, tmp_path, monkeypatch):
+    """All trigrams of all lines are many times the lines: they are made and sorted where those lie."""
+    plans, write = {}, Segments._write
+    monkeypatch.setattr(Segments, "_write", lambda self, df, path: plans.update({path: df._jdf.queryExecution().executedPlan().toString()}) or write(self, df, path))
+    trigrams.SearchIndex(spark, str(tmp_path / "s")).apply(tables[1])
+    assert "Exchange" in plans["lines/rows-1"] and "Exchange" not in plans["grams/rows-1"] and "Sort [gram" in plans["grams/rows-1"]
+
+
+def posted(rows):
+    batch = pa.RecordBatch.from_pydict({"file_id": [f for f, _ in rows], "text": pa.array([t for _, t in rows], pa.string())})
+    out = [pair for b in trigrams._postings([batch, batch.slice(0, 0)]) for pair in zip(*(b.column(c).to_pylist() for c in ("gram", "file_id")))]
+    return out, {(low[k : k + 3], f) for f, t in rows if t for low in [t.translate(str.maketrans(trigrams.UPPER, trigrams.LOWER))] for k in range(len(low) - 2)}
+
+
+def test_postings_of_odd_lines(monkeypatch):
+    rng = random.Random(3)
+    rows = [(-5, None), (-5, ""), (0, "ab"), (0, "c\0\0\0\0"), (1 << 62, "𝒳𝒴𝒵 \U0010ffff É"), *((rng.randrange(6), "".join(rng.choice("aAbBzZ[@\0é𝒳 ") for _ in range(rng.randrange(40)))) for _ in range(300)), (7, "x" * 500 + "needle")]
+    out, want = posted(rows)
+    assert out == sorted(want)  # one slice: each once, in order
+    monkeypatch.setattr(trigrams, "CHUNK", 64)
+    out, want = posted(rows)
+    assert set(out) == want and len(out) > len(want)
+    assert posted([]) == ([], set()) == posted([(1, None), (2, "ab")])
+
+
+def test_postings_of_more_letters_than_a_key_holds():
+    letters = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x100000))]
+    rows = [(k, "".join(letters[k::12])) for k in range(12)]
+    assert len(letters) ** 3 * 12 >= 1 << 63
+    out, want = posted(rows)
+    assert set(out) == want and len(out) == len(want)
+
+
 def test_empty_index(spark, tables, tmp_path):
     at = trigrams.SearchIndex(spark, str(tmp_path / "s"))
     assert rows(at.search(tables[0], "foobar")) == []
