@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import children, delete, discard, materialize, release, scratch_dir, small, table
-from tarnwell.llm.hashing import mix, word_hashes
+from tarnwell.llm.hashing import mix, pieces, word_hashes
 
 #: Bytes of a string that counts as repeated, and words of one that is reported besides (a passage of over 50 words).
 LENGTH, WORDS = 400, 51
@@ -108,6 +108,11 @@ class Rolling:
         one, two = ((s[b] - s[a]) * d[a] for s, d in zip(self.sums, self.down))
         return mix(mix(one) + two * np.uint64(3))
 
+    def grams(self, n: int) -> np.ndarray:
+        """The hashes of all stretches of n symbols, by their start."""
+        one, two = ((s[n:] - s[:-n]) * d[: len(s) - n] for s, d in zip(self.sums, self.down))
+        return mix(mix(one) + two * np.uint64(3))
+
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     n, m = len(x), -(-len(x) // w) * w
@@ -130,19 +135,20 @@ def stretches(roll: Rolling, symbols: np.ndarray, stops: np.ndarray) -> tuple[np
         none = np.empty(0, np.int64)
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     h = roll.load(symbols)
-    at = np.arange(len(symbols) - m.gram + 1)
-    g = h(at, at + m.gram)
-    low = _sliding_min((g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), m.length - m.gram + 1)
-    a = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    s = np.arange(len(a))
-    of = np.searchsorted(stops, s, side="right")
-    inside = s + m.length <= stops[of]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | ~inside[:-1] | (of[1:] != of[:-1])
+    g = h.grams(m.gram)
+    a = _sliding_min((g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64), m.length - m.gram + 1).astype(np.uint32)
+    inside = np.ones(len(a) + 1, bool)  # windows that end in the text they start in
+    for stop in stops.tolist():
+        inside[max(0, stop - m.length + 1) : stop] = False
+    inside[-1] = False
+    new = np.ones(len(a) + 1, bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:-1])
+    new[1:] |= ~inside[:-1]
     first = np.flatnonzero(inside & new)
-    last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
-    whole = h(first, last + m.length) + mix((a[first] - first).astype(np.uint64) * np.uint64(_STEP[0]) + ((last - first).astype(np.uint64) << np.uint64(32)))
-    return of[first], first, last, a[first], g[a[first]], mix(whole)
+    last = np.flatnonzero(inside[:-1] & (new[1:] | ~inside[1:]))
+    suffix = a[first].astype(np.int64)
+    whole = h(first, last + m.length) + mix((suffix - first).astype(np.uint64) * np.uint64(_STEP[0]) + ((last - first).astype(np.uint64) << np.uint64(32)))
+    return np.searchsorted(stops, first, side="right"), first, last, suffix, g[suffix], mix(whole)
 
 
 def _parts(symbols: Iterator[np.ndarray], length: int):
@@ -178,6 +184,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS)
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The structs of an array of lists: which list each is of, and their fields. A null list has none."""
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = lists.flatten()
+    return np.repeat(np.arange(len(lists)), size), {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(rows.type, rows.flatten())}
+
+
 def _runs(measures: tuple[Measure, ...]):
     """The sampled suffixes of texts, as rows of RUN."""
 
@@ -197,6 +210,8 @@ def _runs(measures: tuple[Measure, ...]):
 
 
 ID = ["gram", "whole"]
+#: Hashes are rarely the same, so that a file's dictionary of them would be made in vain.
+PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in (*ID, "place")}
 
 
 class Family:
@@ -230,7 +245,7 @@ class Family:
         return self.spark.read.schema("gram long, whole long, n long").parquet(*map(self._file, levels))
 
     def _write(self, entries: DataFrame, level: tuple[int, int]) -> DataFrame:
-        entries.sortWithinPartitions(*ID).write.mode("overwrite").parquet(self._file(level))
+        entries.sortWithinPartitions(*ID).write.options(**PLAIN).mode("overwrite").parquet(self._file(level))
         return self._read(level)
 
     def entries(self) -> DataFrame:
@@ -273,8 +288,8 @@ class Family:
 def surroundings(runs: DataFrame, family: Family) -> DataFrame:
     """One place of each content of a suffix that has several: gram, whole, k1, k2, place."""
     several = small(family.marks().filter("whole is null").select("gram").distinct())
-    once = runs.join(several, "gram", "left_semi").groupBy(*ID).agg(F.min(F.struct("k1", "k2", "place")).alias("p"))
-    return once.select(*ID, "p.*")
+    # any of the places will do; first() keeps the columns of one row together and, unlike the least struct, needs no sort
+    return runs.join(several, "gram", "left_semi").groupBy(*ID).agg(*[F.first(c).alias(c) for c in ("k1", "k2", "place")])
 
 
 CUT = "gram long, whole long, unit int, lead int, data binary"
@@ -284,16 +299,19 @@ def _cut(measures: tuple[Measure, ...]):
     """The symbols of the runs that are to be compared window by window."""
 
     def run(batches):
-        for batch in _slices(batches):
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                out: dict[str, list] = {c: [] for c in ("gram", "whole", "unit", "lead", "data")}
-                whole = {u: next(iter(measures[u].symbols([text]))) for u in {unit_of(r["place"]) for r in runs}}
-                for r in runs:
-                    p = r["place"]
-                    part = whole[unit_of(p)][first_of(p) : first_of(p) + span_of(p) + measures[unit_of(p)].length]
-                    for c, v in (("gram", r["gram"]), ("whole", r["whole"]), ("unit", unit_of(p)), ("lead", lead_of(p)), ("data", part.tobytes())):
-                        out[c].append(v)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("unit", pa.int32()), ("lead", pa.int32()), ("data", pa.binary())]))
+        for batch, texts in pieces(_slices(batches), "text"):
+            of, runs = _flat(batch.column("runs"))
+            place = runs["place"]
+            for unit, m in enumerate(measures):
+                rows = np.flatnonzero(unit_of(place) == unit)
+                if not len(rows):
+                    continue
+                own, which = np.unique(of[rows], return_inverse=True)
+                whole = list(m.symbols([texts[k] for k in own.tolist()]))
+                first = first_of(place[rows])
+                last = first + span_of(place[rows]) + m.length
+                data = [whole[k][x:y].tobytes() for k, x, y in zip(which.tolist(), first.tolist(), last.tolist())]
+                yield pa.RecordBatch.from_pydict({"gram": runs["gram"][rows], "whole": runs["whole"][rows], "unit": np.full(len(rows), unit, np.int32), "lead": lead_of(place[rows]).astype(np.int32), "data": pa.array(data, pa.binary())})
 
     return run
 
@@ -305,11 +323,11 @@ def _windows(measures: tuple[Measure, ...], batches):
         unit = batch.column("unit").to_numpy()
         for u, roll in enumerate(rolls):
             rows = np.flatnonzero(unit == u)
-            for k in range(0, len(rows), 1000):
-                part = batch.take(pa.array(rows[k : k + 1000]))
-                data = [np.frombuffer(x, roll.measure.kind) for x in part.column("data").to_pylist()]
-                size = np.array([len(x) for x in data])
-                yield part, roll.load(np.concatenate(data)), np.cumsum(size) - size, size - roll.measure.length + 1, part.column("lead").to_numpy().astype(np.int64)
+            for k in range(0, len(rows), 250):
+                part = batch.take(pa.array(rows[k : k + 250]))
+                data = part.column("data").to_pylist()
+                size = np.array([len(x) for x in data]) // np.dtype(roll.measure.kind).itemsize
+                yield part, roll.load(np.frombuffer(b"".join(data), roll.measure.kind)), np.cumsum(size) - size, size - roll.measure.length + 1, part.column("lead").to_numpy().astype(np.int64)
 
 
 def _blocks(measures: tuple[Measure, ...]):
@@ -339,9 +357,10 @@ def _prints(measures: tuple[Measure, ...]):
 
     def run(batches):
         for part, roll, base, _, _ in _windows(measures, batches):
-            spans = part.column("spans").to_pylist()
-            of = np.repeat(np.arange(len(spans)), [sum(s["hi"] - s["lo"] + 1 for s in x) for x in spans])
-            at = np.concatenate([np.arange(s["lo"], s["hi"] + 1) for x in spans for s in x])
+            row, spans = _flat(part.column("spans"))
+            n = spans["hi"].astype(np.int64) - spans["lo"] + 1
+            of = np.repeat(row, n)
+            at = np.arange(n.sum()) + np.repeat(spans["lo"] - np.cumsum(n) + n, n)
             start = base[of] + at
             taken = pa.array(of)
             yield pa.RecordBatch.from_pydict({"gram": part.column("gram").take(taken), "whole": part.column("whole").take(taken), "at": at.astype(np.int32), "print": roll(start, start + roll.measure.length).view(np.int64)})
@@ -355,12 +374,14 @@ def _of(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _shared_windows(texts: DataFrame, runs: DataFrame, family: Family, measures: tuple[Measure, ...]) -> DataFrame:
-    """gram, whole, lo, hi: windows of contents with differing surroundings that stand elsewhere too.
+    """gram, whole, lo, hi: the first and the last window of contents with differing surroundings that stand elsewhere too.
+    All windows of a content hold its suffix, so they overlap: what such windows cover is one stretch, from lo on.
 
     One copy of each content is cut out of its text. Blocks of windows are compared first: a block that stands elsewhere
     as a whole is settled, one that shares its core with other blocks is compared window by window, and others are alone.
     All counts are of hashes, summed before the shuffle, so that a place with any number of surroundings is spread out.
-    Tables and shuffles of a step are let go of before the next but one, as the disk is fullest here.
+    Sides in which a key stands once are joined by hash, so that neither side is sorted. Tables and shuffles of a step are
+    let go of before the next but one, as the disk is fullest here.
     """
     spark = texts.sparkSession
     lists = materialize(surroundings(runs, family).groupBy("k1", "k2").agg(F.collect_list(F.struct(*ID, "place")).alias("runs")))
@@ -369,44 +390,50 @@ def _shared_windows(texts: DataFrame, runs: DataFrame, family: Family, measures:
     discard(lists)
     release(spark)
     blocks = cut.mapInArrow(_blocks(measures), "gram long, whole long, lo int, hi int, core long, hull long")
-    hulls = materialize(blocks.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct(*ID)).alias("one")))
+    hulls = materialize(blocks.groupBy("core", "hull").agg(F.count("*").alias("n"), *[F.first(c).alias(f"one_{c}") for c in ID]))
     release(spark)
     apart = hulls.groupBy("core").agg(F.min("hull").alias("lo"), F.max("hull").alias("hi")).filter("lo <> hi").select("core", F.lit(True).alias("apart"))
-    state = hulls.join(apart, "core", "left").filter("n > 1 or apart").withColumnRenamed("core", "c").withColumnRenamed("hull", "h")
-    told = materialize(blocks.join(state, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h"))).select(*ID, "lo", "hi", (F.col("n") > 1).alias("twice"), (F.col("apart") & ((F.col("n") == 1) | (F.struct(*ID) == F.col("one")))).alias("apart")))
+    state = hulls.join(apart.hint("shuffle_hash"), "core", "left").filter("n > 1 or apart").withColumnRenamed("core", "c").withColumnRenamed("hull", "h")
+    told = materialize(blocks.join(state.hint("shuffle_hash"), (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h"))).select(*ID, "lo", "hi", (F.col("n") > 1).alias("twice"), (F.col("apart") & ((F.col("n") == 1) | ((F.col("gram") == F.col("one_gram")) & (F.col("whole") == F.col("one_whole"))))).alias("apart")))
     discard(hulls)
     release(spark)
     spans = told.filter("apart").groupBy(*ID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    prints = materialize(cut.join(spans, ID).mapInArrow(_prints(measures), "gram long, whole long, at int, print long"))
+    prints = materialize(cut.join(spans.hint("shuffle_hash"), ID).mapInArrow(_prints(measures), "gram long, whole long, at int, print long"))
     discard(cut)
     release(spark)
     often = prints.groupBy("gram", "print").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "print")
-    single = prints.join(often, ["gram", "print"]).select(*ID, F.col("at").alias("lo"), F.col("at").alias("hi"))
-    out = materialize(told.filter("twice").select(*ID, "lo", "hi").unionByName(single))
+    single = prints.join(often.hint("shuffle_hash"), ["gram", "print"]).select(*ID, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    both = told.filter("twice").select(*ID, "lo", "hi").unionByName(single)
+    out = materialize(both.groupBy(*ID).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     discard(told, prints)
     return out
 
 
-def _strip(batches):
+def _joined(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same spans by row and place, joined where they touch."""
+    order = np.lexsort((lo, row))
+    row, lo, hi = (x[order].astype(np.int64) for x in (row, lo, hi))
+    far = np.maximum.accumulate(hi + (row << 40))  # a row's spans end before the next row's begin
+    new = np.append(True, lo[1:] + (row[1:] << 40) > far[:-1])[: len(row)]
+    return row[new], lo[new], (far - (row << 40))[np.append(new[1:], True)[: len(row)]]
+
+
+def _strip(batches, kept: bool = True):
     for batch in _slices(batches):
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "repeated_words": [], "kept": []}
-        for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
-            raw, at, kept = (text or "").encode(), 0, []
-            spans: tuple[list, list] = ([], [])  # bytes, words: joined where they touch
-            for unit, lo, hi in sorted((c["unit"], c["lo"], c["hi"]) for c in cuts or ()):
-                if spans[unit] and lo <= spans[unit][-1][1]:
-                    spans[unit][-1][1] = max(hi, spans[unit][-1][1])
-                else:
-                    spans[unit].append([lo, hi])
-            for lo, hi in spans[0]:
-                kept.append(raw[at:lo])
-                at = hi
-            kept.append(raw[at:])
-            rest = b"".join(kept)
-            for name, value in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(rest)), ("n_spans", len(spans[0])), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("repeated_words", sum(hi - lo for lo, hi in spans[1])), ("kept", rest)):
-                out[name].append(value)
-        kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], ["doc_id", *out])
+        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        of, cuts = _flat(batch.column("cuts"))
+        parts = [cuts["unit"] == unit for unit in (0, 1)]
+        (row, lo, hi), (of_words, lo_words, hi_words) = (_joined(of[x], cuts["lo"][x], cuts["hi"][x]) for x in parts)
+        n_spans = np.bincount(row, minlength=len(texts))
+        ends = np.cumsum(n_spans).tolist()
+        lo, hi, rest = lo.tolist(), hi.tolist(), []
+        for raw, n, k in zip(texts, n_spans.tolist(), ends):
+            rest.append(b"".join([raw[x:y] for x, y in zip([0, *hi[k - n : k]], [*lo[k - n : k], len(raw)])]))
+        size, left = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (texts, rest))
+        words = np.zeros(len(texts), np.int64)
+        np.add.at(words, of_words, hi_words - lo_words)
+        out = {"doc_id": batch.column("doc_id"), "n_bytes": size, "n_removed": size - left, "n_spans": n_spans, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in rest], "repeated_words": words}
+        yield pa.RecordBatch.from_pydict(out | ({"kept": pa.array(rest, pa.binary())} if kept else {}))
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,24 +457,28 @@ def cuts(texts: DataFrame, runs: DataFrame, family: Family, measures: tuple[Meas
     a run is told once, however many rows repeat."""
     shared = _shared_windows(texts, runs, family, measures)
     release(texts.sparkSession)
-    least = HOT * len(family.levels) * (family.entries().agg(F.sum("n")).first()[0] or 0)
+    least = HOT * len(family.levels) * runs.count()
     hot = materialize(family.entries().filter((F.col("n") > 1) & (F.col("n") > least)).select(*ID).distinct())
     twice = family.marks().filter("whole is not null").distinct().join(F.broadcast(hot), ID, "left_anti")
     none = F.lit(None).cast("int")
     found = twice.select(*ID, none.alias("lo"), none.alias("hi")).unionByName(shared)
-    found = found.groupBy(*ID).agg(F.max(F.col("lo").isNull()).alias("all"), F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    length = F.element_at(F.array(*[F.lit(m.length) for m in measures]), (F.col("unit") + 1).cast("int"))
-    span = lambda lo, hi: F.struct(F.col("unit").cast("int").alias("unit"), (F.col("first") + lo).alias("lo"), (F.col("first") + hi + length).alias("hi"))
-    placed = lambda df, *more: df.select("k1", "k2", *more, *[c.alias(n) for n, c in _unpacked(F.col("place")).items()])
-    often = placed(runs.join(F.broadcast(hot), ID, "left_semi")).select("k1", "k2", span(F.lit(0), F.col("span")).alias("c"))
-    each = F.when(F.col("all"), F.array(span(F.lit(0), F.col("span")))).otherwise(F.transform("spans", lambda s: span(s["lo"], s["hi"])))
-    rest = placed(runs.join(F.broadcast(hot), ID, "left_anti").join(found, ID), "all", "spans").select("k1", "k2", F.explode(each).alias("c"))
-    out = materialize(often.unionByName(rest).groupBy("k1", "k2").agg(F.collect_set("c").alias("cuts")))
+    whole = F.max(F.col("lo").isNull())
+    found = found.groupBy(*ID).agg(F.when(~whole, F.min("lo")).alias("lo"), F.when(~whole, F.max("hi")).alias("hi"))
+    # unit, lo and hi are one number until they are put into a text's list: sets of numbers are made faster than of structs
+    span = F.expr("shiftleft(first + lo, 18) + shiftleft(hi - lo, 1) + unit").alias("c")
+    placed = lambda df, lo, hi: df.select("k1", "k2", lo.alias("lo"), hi.alias("hi"), *[c.alias(n) for n, c in _unpacked(F.col("place")).items()])
+    often = placed(runs.join(F.broadcast(hot), ID, "left_semi"), none, none)
+    rest = placed(runs.join(F.broadcast(hot), ID, "left_anti").join(found.hint("shuffle_hash"), ID), F.col("lo"), F.col("hi"))
+    each = lambda df: df.select("k1", "k2", "first", "unit", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", "span").alias("hi")).select("k1", "k2", span)
+    length = lambda unit: F.when(unit == 0, measures[0].length).otherwise(measures[1].length)
+    lo, unit = (lambda c: F.shiftright(c, 18)), (lambda c: c.bitwiseAND(F.lit(1)).cast("int"))
+    whole_span = lambda c: F.struct(unit(c).alias("unit"), lo(c).alias("lo"), (lo(c) + F.shiftright(c, 1).bitwiseAND(F.lit((1 << 17) - 1)) + length(unit(c))).alias("hi"))
+    out = materialize(each(often).unionByName(each(rest)).groupBy("k1", "k2").agg(F.transform(F.collect_set("c"), whole_span).alias("cuts")))
     discard(shared, hot)
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = 64, block: int = 16, words: int = WORDS, word_gram: int = 8, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = 64, block: int = 16, words: int = WORDS, word_gram: int = 8, batches: int = BATCHES, kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated_words, kept (binary): texts without the bytes covered by a
     string of `length` bytes that starts anywhere else too. repeated_words counts words inside strings of `words` words
     that start anywhere else too; nothing is removed for them.
@@ -461,14 +492,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null and empty texts lose nothing and have 0 in all counts. Repeated rows are copies of each other, so they lose all
     covered bytes alike; ties can't arise. Texts below `length` bytes are kept whole; texts of any length are handled in
     overlapping parts. An empty table gives no rows. Cuts follow bytes, so `kept` may end inside a character. Other columns
-    are not looked at, so their names can't clash.
+    are not looked at, so their names can't clash. Without `kept`, that column is not there and what is left is only hashed;
+    texts that lose nothing don't go through Python.
     """
     measures = (Measure("bytes", length, gram, block), Measure("words", words, word_gram, max(1, block // 2)))
     spark = docs.sparkSession
     texts = keyed_texts(docs, id_col, text_col)
     dealt = sampled(texts, measures).withColumn("batch", F.pmod("k2", F.lit(batches)))
     path = f"{scratch_dir(spark)}/family-{uuid.uuid4().hex}"
-    dealt.write.partitionBy("batch").parquet(f"{path}/runs")
+    dealt.write.options(**PLAIN).partitionBy("batch").parquet(f"{path}/runs")
     runs = spark.read.schema(dealt.schema).parquet(f"{path}/runs")
     family = Family(spark, f"{path}/levels")
     for k in range(batches):
@@ -479,9 +511,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = texts.schema["doc_id"].dataType.simpleString()
     keys = small(found.select("k1", "k2"))
     cut = texts.join(keys, ["k1", "k2"], "left_semi").join(found.hint("shuffle_hash"), ["k1", "k2"]).select("doc_id", "text", "cuts")
-    whole = texts.join(keys, ["k1", "k2"], "left_anti").select("doc_id", "text", F.lit(None).cast(cut.schema["cuts"].dataType).alias("cuts"))
-    return cut.unionByName(whole).mapInArrow(_strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated_words long, kept binary")
+    stripped = cut.mapInArrow(lambda batches: _strip(batches, kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated_words long" + ", kept binary" * kept)
+    raw, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    whole = {"n_bytes": F.octet_length("text").cast("long"), "n_removed": none, "n_spans": none, "kept_sha256": F.sha2(raw, 256), "repeated_words": none} | ({"kept": raw} if kept else {})
+    return stripped.unionByName(texts.join(keys, ["k1", "k2"], "left_anti").select("doc_id", *[c.alias(n) for n, c in whole.items()]))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), kept=False)

@@ -280,6 +280,52 @@ def test_family_takes_batches_and_opens_again(spark, tmp_path):
         assert mark == want[r.doc_id]
 
 
+def test_windows_of_a_content_are_told_as_one_stretch(spark, tmp_path):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = noise(60)
+    docs = documents(spark, [(k, noise(40) + passage[k % 7 : 60 - k % 5] + noise(40), "s") for k in range(60)])
+    measures = (suffix_dedup.Measure("bytes", 40, 8, 4), suffix_dedup.Measure("words", 12, 3, 2))
+    texts = suffix_dedup.keyed_texts(docs)
+    runs = suffix_dedup.sampled(texts, measures)
+    family = suffix_dedup.Family(spark, str(tmp_path))
+    family.add(runs)
+    shared = suffix_dedup._shared_windows(texts, runs, family, measures).collect()
+    assert len(shared) > 30 and len(shared) == len({(r.gram, r.whole) for r in shared})  # before, a row for each window
+    assert all(0 <= r.lo <= r.hi for r in shared) and any(r.lo < r.hi for r in shared)
+
+
+def test_only_texts_that_lose_something_go_through_python(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    passages = [noise(45) for _ in range(3)]
+    docs = [(1, passages[0] + noise(30) + passages[1], "s"), (2, noise(9) + passages[1] + passages[2], "s"), (3, passages[0] + passages[2], "s"), (4, noise(200), "s"), (5, None, "s"), (6, "", "s"), (4, "other " + noise(80), "s")]
+    assert removed(spark, docs, kept=False) == removed(spark, docs) == stripped(docs, 40, 12)
+    raw = [(t or "").encode() for _, t, _ in docs]
+    rest = Counter((i, bytes(x for x, y in zip(b, c) if not y)) for (i, _, _), b, c in zip(docs, raw, covered(raw, 40)))
+    out = suffix_dedup.remove_repeats(documents(spark, docs), **SHORT)
+    assert Counter((r.doc_id, bytes(r.kept)) for r in out.collect()) == rest and sum(map(len, raw)) > sum(len(x) for _, x in rest)
+    short = suffix_dedup.remove_repeats(documents(spark, docs), **SHORT, kept=False)
+    assert short.columns == [c for c in out.columns if c != "kept"]
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("MapInArrow") and plan.count("MapInArrow") == 1
+
+
+def test_spans_of_a_text_are_joined_where_they_touch():
+    spans = [[(0, 3, 5), (0, 5, 9), (1, 0, 2), (0, 20, 30)], None, [], [(0, 0, 4), (0, 2, 3), (1, 1, 2), (1, 1, 3)], [(1, 0, 1)]]
+    kind = pa.list_(pa.struct([("unit", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())]))
+    cuts = pa.array([x and [dict(zip(("unit", "lo", "hi"), c)) for c in x] for x in spans], kind)
+    texts = ["abcdefghijklmnopqrstuvwxyzabcdef", None, "whole", "abcd", "é e"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(5), "text": texts, "cuts": cuts})
+    for given in (batch, batch.slice(2)):  # a slice's lists don't begin at the first struct
+        out = [r for x in suffix_dedup._strip([given]) for r in x.to_pylist()]
+        want = {0: (32, 16, 2, 2, b"abcjklmnopqrstef"), 1: (0, 0, 0, 0, b""), 2: (5, 0, 0, 0, b"whole"), 3: (4, 4, 1, 2, b""), 4: (4, 0, 0, 1, "é e".encode())}
+        assert [r["doc_id"] for r in out] == given.column("doc_id").to_pylist()
+        for r in out:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["repeated_words"], r["kept"]) == want[r["doc_id"]]
+            assert r["kept_sha256"] == hashlib.sha256(r["kept"]).hexdigest()
+
+
 # --- models --------------------------------------------------------------------------------------------------------------
 def best_segments(values):
     """Maximal segments by definition: the best is cut out, then the same on both sides (first and shortest of equals)."""
